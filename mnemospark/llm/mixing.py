@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, Written, let, words_of, write  # noqa: F401
+from .common import Written, words_of, write
 
 
 @dataclass(frozen=True)

@@ -23,16 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, let, words_of, write
+from .common import LOWER_ASCII, UPPER_ASCII, Written, let, words_of, write
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER_ASCII, LOWER_ASCII))
 
 
 def shingle_hashes(text: Column, width: int = 2) -> Column:
