@@ -133,14 +133,14 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, cfg: RiskConfig = Ris
     labelled = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     columns = [of(F.col("s")).alias(name) for name, of in RULES.items()]
     used = write(stats.where(~base_failed(F.col("s"), cfg)).join(labelled, "doc_id").select("stratum", (F.col("quality") == 1).alias("good"), *columns), "labelled-stats").df
-    strata = used.select("stratum").distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
+    strata = used.select("stratum").distinct().count()
     chosen = used.select("stratum").distinct().select("stratum", F.create_map().cast("map<string,int>").alias("cutoffs"))
     for name in RULES:
         chosen = write(_add_cutoff(used, chosen, strata, name, cfg), "cutoffs").df
     return chosen.where(F.size("cutoffs") > 0)
 
 
-def _add_cutoff(used: DataFrame, chosen: DataFrame, strata: DataFrame, name: str, cfg: RiskConfig) -> DataFrame:
+def _add_cutoff(used: DataFrame, chosen: DataFrame, strata: int, name: str, cfg: RiskConfig) -> DataFrame:
     """``chosen`` with the cutoff of rule ``name``.
 
     Its certificate counts all good documents; its gain only the documents
@@ -157,10 +157,9 @@ def _add_cutoff(used: DataFrame, chosen: DataFrame, strata: DataFrame, name: str
     whole, falling = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy(F.desc("m"))
     over = lambda c, w: F.sum(c).over(w)
     at = counted.select("stratum", "m", over("good", falling).alias("k"), over("new_good", falling).alias("lost"), over("new_bad", falling).alias("hit"), over("good", whole).alias("n"), over("bad", whole).alias("n_bad"))
-    # strata is one row of one number: its size doesn't grow
-    at = at.join(F.broadcast(strata), F.lit(True)).where("n > 0 and n_bad > 0").withColumn("gain", F.col("hit") / F.col("n_bad") - F.col("lost") / F.col("n")).where("gain > 0")
+    at = at.where("n > 0 and n_bad > 0").withColumn("gain", F.col("hit") / F.col("n_bad") - F.col("lost") / F.col("n")).where("gain > 0")
     tail = binomial_tail(F.col("n"), F.col("k"), F.lit(cfg.alpha / len(RULES)))
-    best = at.where(tail <= F.lit(cfg.delta / len(RULES)) / F.col("strata")).groupBy("stratum").agg(F.max_by("m", F.struct("gain", "m")).alias("m"))
+    best = at.where(tail <= F.lit(cfg.delta / len(RULES) / max(strata, 1))).groupBy("stratum").agg(F.max_by("m", F.struct("gain", "m")).alias("m"))
     return chosen.join(best, "stratum", "left").select("stratum", F.when(F.col("m").isNull(), F.col("cutoffs")).otherwise(F.map_concat("cutoffs", F.create_map(F.lit(name), F.col("m")))).alias("cutoffs"))
 
 

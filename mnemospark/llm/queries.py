@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_classifier, quality_rules, simhash, topk, toxicity, url_filter, warc
+from . import chat, mixing, packing, quality_classifier, quality_rules, simhash, topk, toxicity, url_filter, warc
 from .common import read
 
 
@@ -38,6 +38,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(read(spark, sf_dir, "conversations"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -47,4 +51,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_topk, op3_warc, op4_simhash, op5_quality_rules, op6_packing, op7_url_filter, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_topk, op3_warc, op4_simhash, op5_quality_rules, op6_packing, op7_url_filter, op8_chat, op9_toxicity, op10_mixing)}

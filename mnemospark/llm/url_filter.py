@@ -100,20 +100,19 @@ def judge(pages: DataFrame, cfg: UrlConfig = UrlConfig()) -> DataFrame:
     judged = parts.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), cfg).alias("r"))
     hosts = write(judged.groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").alias("allow"), F.count_if(F.col("r.verdict") == "block").alias("block")), "hosts").df
     edges = write(host_edges(parts.select("host", "html")), "links").df
-    known = hosts.select("host").union(edges.select("dst")).distinct().where("host <> ''").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("known"))
+    known = hosts.select("host").union(edges.select("dst")).distinct().where("host <> ''").count()
 
     def seeds(mine: str, other: str) -> DataFrame:
         share = F.col(mine) / (F.col(mine) + F.col(other))
         part = hosts.where((F.col(mine) > 0) & (F.col("host") != "")).select("host", share.alias("s"))
-        whole = part.agg(F.sum("s").alias("all"))
-        # one row of one number
-        return part.join(F.broadcast(whole), F.lit(True)).select("host", (F.col("s") / F.col("all")).alias("share"))
+        whole = part.agg(F.sum("s")).first()[0] or 1.0
+        return part.select("host", (F.col("s") / whole).alias("share"))
 
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     trust = propagate(edges, seeds("allow", "block"), cfg).select(F.col("host").alias("a_host"), F.col("rank").alias("trust"))
     distrust = propagate(back, seeds("block", "allow"), cfg).select(F.col("host").alias("b_host"), F.col("rank").alias("distrust"))
-    scored = hosts.select("host").join(trust, F.col("host") == F.col("a_host"), "left").join(distrust, F.col("host") == F.col("b_host"), "left").join(F.broadcast(known), F.lit(True))
-    scored = write(scored.select(F.col("host").alias("h_host"), (F.coalesce("trust", F.lit(0.0)) * F.col("known")).alias("trust"), (F.coalesce("distrust", F.lit(0.0)) * F.col("known")).alias("distrust")), "scores").df
+    scored = hosts.select("host").join(trust, F.col("host") == F.col("a_host"), "left").join(distrust, F.col("host") == F.col("b_host"), "left")
+    scored = write(scored.select(F.col("host").alias("h_host"), (F.coalesce("trust", F.lit(0.0)) * known).alias("trust"), (F.coalesce("distrust", F.lit(0.0)) * known).alias("distrust")), "scores").df
     out = judged.join(scored, F.col("host") == F.col("h_host"), "left")
     bad = (F.col("distrust") > cfg.threshold) & (F.col("distrust") > F.col("trust"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when((F.col("host") != "") & bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
