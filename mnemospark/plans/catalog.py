@@ -4,12 +4,631 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..config import ActivationConfig, ForgettingConfig
+from ..functions import maths as M
+from ..functions import text as X
+from ..operators import activation as A
+from ..operators import episodes as E
+from ..operators import facts as K
+from ..operators import forgetting as G
+from ..operators import ingest as N
+from ..operators import learning as L
+from ..operators import metamemory as Q
+from ..operators import ranking as R
+from ..operators import reconcile as C
+from ..operators import spreading as S
+from ..operators import working_memory as W
+from ..sources import incremental as I
+from ..sources import store as T
+from .inputs import as_of, feedback, observations, order_edges, revisions, table, text_candidates, text_cues
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(c, n: int = 4):
+    return F.round(c, n)
+
+
+TOKENS = "list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)))"
+OBS = """obs AS (SELECT event_id, user_id, ts, event_type, value, props, event_type || ' ' || CAST(CAST(round(value, 0) AS BIGINT) AS VARCHAR) AS content,
+ least(1.0, value / 200) AS attention, event_type = 'purchase' AS terminal, event_type = 'signup' AS boundary FROM events)"""
+REV = """rev AS (SELECT o_custkey AS subject, o_orderkey, o_orderpriority AS object_value, o_orderdate AS valid_from,
+ lead(o_orderdate) OVER w AS valid_until, row_number() OVER w AS revision_number, o_totalprice FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
+SESS = f"""WITH {OBS}, f AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 OR boundary OR lag(terminal) OVER w THEN 1 ELSE 0 END AS st
+ FROM obs WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM f)"""
+
+
+# ---- sources, sinks, upserts -------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01' OR (o_orderdate = TIMESTAMP '1998-01-01' AND o_orderkey > 5000)")
+def incremental_scan(spark, sf):
+    at = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    return I.incremental_scan(table(spark, sf, "orders"), ("o_orderdate", "o_orderkey"), (at, 5000), ["o_orderkey", "o_custkey", "o_totalprice"]).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT epoch(o_orderdate)::BIGINT AS at, o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def checkpoint_max(spark, sf):
+    c = I.checkpoint_of(table(spark, sf, "orders"), ("o_orderdate", "o_orderkey"))
+    return c.select(F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"), "o_orderkey")
+
+
+@query("""WITH d AS (SELECT doc_id, length(trim(text)) < 3 AS short, lang = 'es' AS gone FROM documents)
+SELECT gone OR NOT short AS accepted, CAST(CASE WHEN gone THEN 0.3 WHEN NOT short THEN 0.5 END AS DOUBLE) AS attention_score, CASE WHEN gone THEN 'deletion_event' WHEN short THEN 'content_too_short' END AS policy_reason, count(*) AS n FROM d GROUP BY ALL""")
+def policy_filter(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), (F.col("lang") == "es").alias("is_deleted"))
+    return N.policy(d).groupBy("accepted", "attention_score", "policy_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(regexp_replace(text, '\\s+$', ''))) AS content_hash FROM documents")
+def content_hash(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return N.retain(d, "hash_only").select("doc_id", "content_hash")
+
+
+@query("""WITH v AS (SELECT user_id, event_type, ts, event_id, CAST(event_id % 3 AS VARCHAR) AS version, CAST(round(value / 100, 0) AS BIGINT) AS content, event_type = 'error' AS is_deleted FROM events),
+l AS (SELECT *, lag(version) OVER w AS pv, lag(content) OVER w AS pc, lag(is_deleted) OVER w AS pd, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT *, CASE WHEN n = 1 THEN 'created' WHEN pv = version AND pc = content AND pd = is_deleted THEN 'unchanged' WHEN pd AND NOT is_deleted THEN 'restored' WHEN NOT pd AND is_deleted THEN 'deleted' ELSE 'updated' END AS change_type FROM l)
+SELECT user_id, event_id, change_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision_number FROM c WHERE change_type <> 'unchanged'""")
+def revision_classify(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 3).cast("string").alias("version"), F.round(F.col("value") / 100, 0).cast("long").alias("content"), (F.col("event_type") == "error").alias("is_deleted"))
+    h = T.revision_history(e, ["user_id"], ["ts", "event_id"], "version", "content", "is_deleted")
+    return h.select("user_id", "event_id", "change_type", F.col("revision_number").cast("long").alias("revision_number"))
+
+
+@query("""SELECT count(*) AS discovered, count(*) FILTER (WHERE o.doc_id IS NULL) AS created, count(*) FILTER (WHERE o.doc_id IS NOT NULL AND NOT (o.c = n.c)) AS updated, count(*) FILTER (WHERE o.c = n.c) AS unchanged
+FROM (SELECT doc_id, n_chars % 7 AS c FROM documents) n LEFT JOIN (SELECT doc_id, (n_chars + CASE WHEN lang = 'en' THEN 1 ELSE 0 END) % 7 AS c FROM documents WHERE lang <> 'fr') o USING (doc_id)""")
+def ingest_counts(spark, sf):
+    d = table(spark, sf, "documents")
+    row = lambda x, c: x.select("doc_id", F.lit("1").alias("version"), c.alias("content"), F.lit(False).alias("is_deleted"))
+    old = row(d.where("lang <> 'fr'"), (F.col("n_chars") + (F.col("lang") == "en").cast("int")) % 7)
+    return T.ingest_counts(T.classify(old, row(d, F.col("n_chars") % 7), ["doc_id"], "version", "content", "is_deleted")).select("discovered", "created", "updated", "unchanged")
+
+
+@query("""SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'kept' WHEN o.doc_id IS NULL THEN 'created' WHEN o.fp = n.fp THEN 'unchanged' ELSE 'updated' END AS status,
+CASE WHEN n.doc_id IS NULL OR o.fp = n.fp THEN o.v ELSE n.v END AS v FROM (SELECT doc_id, n_chars % 5 AS fp, 'old' AS v FROM documents WHERE lang <> 'de') o
+FULL JOIN (SELECT doc_id, n_chars % 5 + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS fp, 'new' AS v FROM documents WHERE lang <> 'es') n USING (doc_id)""")
+def keyed_upsert(spark, sf):
+    d = table(spark, sf, "documents")
+    old = d.where("lang <> 'de'").select("doc_id", (F.col("n_chars") % 5).alias("fp"), F.lit("old").alias("v"))
+    new = d.where("lang <> 'es'").select("doc_id", (F.col("n_chars") % 5 + (F.col("lang") == "fr").cast("int")).alias("fp"), F.lit("new").alias("v"))
+    return T.keyed_upsert(old, new, ["doc_id"], "fp").select("doc_id", "status", "v")
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') AS is_active FROM customer")
+def deactivate_missing(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.lit(True).alias("is_active"))
+    return T.deactivate_missing(c, table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("""SELECT user_id, count(*) AS n FROM (SELECT user_id, event_type FROM events WHERE event_type = 'view' UNION ALL SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'view') GROUP BY 1""")
+def reference_append(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", F.when(F.col("event_type") != "view", F.col("event_type")).alias("request_id"))
+    half = e.where("event_type = 'click'").dropDuplicates(["request_id", "user_id"])
+    return T.append_references(half, e, ["user_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name <> (SELECT min(n_name) FROM nation) GROUP BY 1")
+def tenant_clear(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    first = table(spark, sf, "nation").agg(F.min("n_name")).first()[0]
+    return T.clear_tenant(c, first, "n_name").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- episodes ----------------------------------------------------------------
+
+
+def _sessions(spark, sf):
+    return E.sessionise(observations(spark, sf), ["user_id"], "ts", "event_id", 1800.0, "boundary", "terminal")
+
+
+@query(f"""WITH {OBS}, f AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS st FROM obs WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CAST(sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM f""")
+def sessionize_gap(spark, sf):
+    return E.sessionise(observations(spark, sf), ["user_id"], "ts", "event_id").select("event_id", F.col("session").cast("long").alias("session"))
+
+
+@query(SESS + "SELECT event_id, CAST(session AS BIGINT) AS session, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) - 1 AS sequence_number FROM s")
+def sessionize_flags(spark, sf):
+    return _sessions(spark, sf).select("event_id", F.col("session").cast("long").alias("session"), F.col("sequence_number").cast("long").alias("sequence_number"))
+
+
+@query("SELECT conv_id, count(*) AS observations, min(turn) AS first_turn, max(turn) AS last_turn, list_sort(list(DISTINCT role)) AS roles FROM conversations GROUP BY 1")
+def sessionize_grouped(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("observations"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.array_sort(F.collect_set("role")).alias("roles"))
+
+
+@query(SESS + """SELECT user_id, CAST(session AS BIGINT) AS session, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS observations, round(greatest(0, least(1, .5 * max(attention) + .3 * avg(attention) + .05 * max(CAST(terminal AS INT)))), 6) AS importance,
+round(.7 + .3 * avg(CASE WHEN trim(content) <> '' THEN 1.0 ELSE 0 END), 4) AS confidence, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types FROM s GROUP BY 1, 2""")
+def episode_rollup(spark, sf):
+    r = E.rollup(_sessions(spark, sf), ["user_id"], "event_id", "ts", "content", "attention", "terminal", "event_type")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return r.select("user_id", F.col("session").cast("long").alias("session"), us("started_at").alias("started"), us("ended_at").alias("ended"), "observations", _r("importance", 6).alias("importance"), _r("confidence").alias("confidence"), F.array_join("event_types", ",").alias("event_types"))
+
+
+@query(SESS + """, a AS (SELECT user_id, session, ts, event_id, content, lag(content) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS p FROM s)
+SELECT user_id, CAST(session AS BIGINT) AS session, substr(string_agg(content, chr(10) ORDER BY ts, event_id) FILTER (WHERE p IS NULL OR p <> content), 1, 2000) AS statement FROM a GROUP BY 1, 2""")
+def adjacent_dedup_statement(spark, sf):
+    r = E.rollup(_sessions(spark, sf), ["user_id"], "event_id", "ts", "content", "attention", "terminal", "event_type")
+    return r.select("user_id", F.col("session").cast("long").alias("session"), "statement")
+
+
+@query(SESS + """, r AS (SELECT user_id, session, string_agg(event_id || chr(31) || '1' || chr(31) || n, chr(31) ORDER BY n) AS p, arg_min(event_id, n) AS first FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) - 1 AS n FROM s) GROUP BY 1, 2)
+SELECT user_id, CAST(session AS BIGINT) AS session, sha256(user_id || chr(31) || first) AS memory_key, sha256(p) AS fingerprint FROM r""")
+def episode_keys(spark, sf):
+    r = E.rollup(_sessions(spark, sf), ["user_id"], "event_id", "ts", "content", "attention", "terminal", "event_type")
+    return r.select("user_id", F.col("session").cast("long").alias("session"), "memory_key", "fingerprint")
+
+
+@query("SELECT o_orderkey AS memory, 'C:' || o_custkey || ',' || string_agg(DISTINCT 'P:' || l_partkey, ',' ORDER BY 'P:' || l_partkey) AS entities FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey")
+def entity_set(spark, sf):
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.concat(F.lit("C:"), F.col("o_custkey").cast("string")).alias("c"), F.array(F.concat(F.lit("P:"), F.col("l_partkey").cast("string"))).alias("p"))
+    e = E.entities(j, ["o_orderkey"], F.col("c"), named=F.col("p"))
+    return e.select(F.col("o_orderkey").alias("memory"), F.array_join(F.transform("entities", lambda x: x["entity_id"]), ",").alias("entities"))
+
+
+# ---- facts, revisions, time --------------------------------------------------
+
+FACTS = """fact AS (SELECT o_custkey AS subject, o_custkey || '/' || strftime(o_orderdate, '%Y-%m') AS episode_id, o_orderstatus AS namespace, o_orderpriority AS object_value, o_orderkey, 1.0 - (o_orderkey % 4) / 10.0 AS fact_confidence,
+ 0.9 AS episode_confidence, least(1.0, o_totalprice / 400000.0) AS importance, o_orderdate AS observed_at FROM orders),
+best AS (SELECT * FROM fact QUALIFY row_number() OVER (PARTITION BY episode_id, subject, object_value ORDER BY fact_confidence DESC, o_orderkey) = 1)"""
+
+
+def _facts(spark, sf):
+    o = table(spark, sf, "orders")
+    rows = o.select(
+        F.col("o_custkey").alias("subject"), F.concat(F.col("o_custkey").cast("string"), F.lit("/"), F.date_format("o_orderdate", "yyyy-MM")).alias("episode_id"), F.col("o_orderstatus").alias("namespace"), F.col("o_orderpriority").alias("object_value"), "o_orderkey",
+        (1.0 - (F.col("o_orderkey") % 4) / 10.0).alias("fact_confidence"), F.lit(0.9).alias("episode_confidence"), F.least(F.lit(1.0), F.col("o_totalprice") / 400000.0).alias("importance"), F.col("o_orderdate").alias("observed_at"),
+        F.lit(None).cast("timestamp_ntz").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"),
+    )
+    return rows.withColumn("slot_key", F.col("subject").cast("string")).withColumn("claim_key", F.concat_ws("|", "slot_key", "object_value"))
+
+
+@query("SELECT event_id, 'k' AS predicate, props->>'k' AS object_value, CAST(user_id AS VARCHAR) AS subject_entity_id, 'affirm' AS polarity, false AS failed FROM events")
+def fact_extract(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", F.concat(F.lit('{"predicate":"k","object_value":"'), F.get_json_object("props", "$.k"), F.lit('"}')).alias("facts"))
+    return K.extract(e, "facts", "user_id").select("event_id", "predicate", "object_value", "subject_entity_id", "polarity", "failed")
+
+
+@query(f"WITH {FACTS} SELECT episode_id, object_value, o_orderkey FROM best")
+def claim_dedup(spark, sf):
+    return K.best_per_episode(_facts(spark, sf), "o_orderkey").select("episode_id", "object_value", "o_orderkey")
+
+
+@query(f"""WITH {FACTS} SELECT subject || '|' || object_value AS claim_key, count(DISTINCT episode_id) AS support_count, round(sum(fact_confidence * episode_confidence * (.5 + .5 * importance)), 4) AS support_mass, count(DISTINCT namespace) AS namespaces,
+round(.6 * max(importance) + .4 * avg(importance), 4) AS importance, round(greatest(0, least(1, (1 - exp(-sum(fact_confidence * episode_confidence * (.5 + .5 * importance)) / 1.5)) * (.8 + .2 * least(1, count(DISTINCT namespace) / 2.0)))), 4) AS confidence,
+epoch(min(observed_at))::BIGINT AS first_at, epoch(max(observed_at))::BIGINT AS last_at FROM best GROUP BY 1 HAVING count(DISTINCT episode_id) >= 2""")
+def claim_consolidation(spark, sf):
+    c = K.consolidate(K.best_per_episode(_facts(spark, sf), "o_orderkey"))
+    s = lambda x: F.unix_seconds(F.col(x).cast("timestamp"))
+    return c.select("claim_key", "support_count", _r("support_mass").alias("support_mass"), "namespaces", _r("importance").alias("importance"), _r("confidence").alias("confidence"), s("first_supported_at").alias("first_at"), s("last_supported_at").alias("last_at"))
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_partkey, max(least(1.0, l_quantity * (1 - l_discount) / 40)) AS w FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, l_partkey, round(w, 6) AS contribution_score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS sequence_number FROM w""")
+def evidence_flatten(spark, sf):
+    e = K.flatten_evidence(table(spark, sf, "lineitem"), ["l_orderkey"], "l_partkey", F.col("l_quantity") * (1 - F.col("l_discount")) / 40)
+    return e.select("l_orderkey", F.explode("evidence").alias("e")).select("l_orderkey", F.col("e.observation_id").alias("l_partkey"), _r("e.contribution_score", 6).alias("contribution_score"), F.col("e.sequence_number").cast("long").alias("sequence_number"))
+
+
+@query("SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS name, lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS type FROM part")
+def canonical_text(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.canonical_text(F.col("p_name")).alias("name"), X.canonical_text(F.col("p_type")).alias("type"))
+
+
+@query("""WITH k AS (SELECT o_orderkey, sha256('t' || chr(31) || o_custkey || chr(31) || 'order_priority' || chr(31) || 'status=' || lower(o_orderstatus)) AS slot_key, lower(o_orderpriority) AS o FROM orders)
+SELECT o_orderkey, slot_key, sha256(slot_key || chr(31) || o || chr(31) || 'affirm') AS claim_key FROM k""")
+def slot_claim_keys(spark, sf):
+    slot, claim = K.slot_and_claim(F.lit("t"), F.col("o_custkey").cast("string"), F.lit("Order_Priority"), F.create_map(F.lit("Status"), F.col("o_orderstatus")), F.col("o_orderpriority"), F.lit("affirm"))
+    return table(spark, sf, "orders").select("o_orderkey", slot.alias("slot_key"), claim.alias("claim_key"))
+
+
+@query("SELECT o_orderkey, o_custkey || ' does not order with ' || o_orderpriority AS statement FROM orders")
+def claim_statement(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", K.claim_statement(F.col("o_custkey").cast("string"), F.lit("order_with"), F.col("o_orderpriority"), F.lit("deny")).alias("statement"))
+
+
+@query(f"""WITH {REV} SELECT a.o_orderkey, CASE WHEN a.valid_until <= b.valid_from THEN 'before' WHEN b.valid_until <= a.valid_from THEN 'after' ELSE 'overlaps' END AS relation
+FROM rev a JOIN rev b ON a.subject = b.subject AND b.revision_number = a.revision_number + 2""")
+def interval_relation(spark, sf):
+    r = revisions(spark, sf)
+    b = r.select(F.col("subject").alias("b_subject"), (F.col("revision_number") - 2).alias("b_n"), F.col("valid_from").alias("b_from"), F.col("valid_until").alias("b_until"))
+    j = r.join(b, (F.col("subject") == F.col("b_subject")) & (F.col("revision_number") == F.col("b_n")))
+    return j.select("o_orderkey", M.interval_relation(F.col("valid_from"), F.col("valid_until"), F.col("b_from"), F.col("b_until")).alias("relation"))
+
+
+@query(f"WITH {REV} SELECT subject, o_orderkey, object_value, c_mktsegment AS segment FROM rev JOIN customer ON c_custkey = subject WHERE valid_from <= TIMESTAMP '1998-06-01' AND (valid_until IS NULL OR TIMESTAMP '1998-06-01' < valid_until)")
+def asof_revision_join(spark, sf):
+    memories = table(spark, sf, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_mktsegment").alias("segment"))
+    return C.as_of(revisions(spark, sf), memories, F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"), "subject").select("subject", "o_orderkey", "object_value", "segment")
+
+
+@query(f"""WITH {REV} SELECT l_orderkey, l_linenumber, r.o_orderkey AS at_ship FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey JOIN rev r ON r.subject = o.o_custkey AND r.valid_from <= l_shipdate AND (r.valid_until IS NULL OR l_shipdate < r.valid_until)""")
+def asof_join_each(spark, sf):
+    probes = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("subject")), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_shipdate", "subject")
+    return C.as_of_each(revisions(spark, sf), probes, ["subject"], "l_shipdate").select("l_orderkey", "l_linenumber", F.col("o_orderkey").alias("at_ship"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS memory_key, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision_number, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'P' THEN 'contested' ELSE 'superseded' END AS status FROM orders)
+SELECT memory_key, o_orderkey, status, revision_number FROM r QUALIFY row_number() OVER (PARTITION BY memory_key ORDER BY CASE status WHEN 'active' THEN 2 WHEN 'contested' THEN 1 ELSE 0 END DESC, revision_number DESC) = 1""")
+def current_projection(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "P", "contested").otherwise("superseded")
+    r = table(spark, sf, "orders").select(F.col("o_custkey").alias("memory_key"), "o_orderkey", F.row_number().over(w).cast("long").alias("revision_number"), status.alias("status"))
+    return C.current_projection(r, ["memory_key"]).select("memory_key", "o_orderkey", "status", "revision_number")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), x AS (SELECT 'P' || a AS k, 'S' || b AS o FROM e UNION SELECT 'S' || b, 'P' || a FROM e) SELECT k AS revision_key, count(DISTINCT o) AS contradiction_count FROM x GROUP BY 1""")
+def conflict_partners(spark, sf):
+    return C.conflict_partners(table(spark, sf, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("b")))
+
+
+def _revision_candidates(spark, sf):
+    """Of a customer's orders: a value holds for the month of its order; values of one month conflict."""
+    month = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("slot_key"), F.col("o_orderpriority").alias("object_value"), month.alias("valid_from")).agg(F.count(F.lit(1)).alias("support_count"), F.sum(F.lit(0.5)).alias("support_mass"), F.max(F.least(F.lit(1.0), F.col("o_totalprice") / 400000)).alias("importance"), F.countDistinct("o_orderstatus").alias("namespaces"))
+    return o.withColumn("memory_key", F.concat_ws("|", "slot_key", "object_value")).withColumn("cardinality", F.lit("one")).withColumn("valid_until", F.add_months("valid_from", 1).cast("timestamp"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS s, o_orderpriority AS v, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL),
+k AS (SELECT *, count(*) OVER (PARTITION BY s, m) AS rivals, row_number() OVER (PARTITION BY s, m ORDER BY v) AS place, max(m) OVER (PARTITION BY s) AS latest FROM c),
+g AS (SELECT s, m, list(v ORDER BY v) AS vs FROM c GROUP BY ALL)
+SELECT count(*) AS revisions, count(DISTINCT s || '|' || v) AS memories FROM k""")
+def reconcile_counts(spark, sf):
+    return C.reconcile(_revision_candidates(spark, sf)).agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("memory_key").alias("memories"))
+
+
+@query()
+def reconcile_fold(spark, sf):
+    r = C.reconcile(_revision_candidates(spark, sf))
+    return r.select("memory_key", "revision_number", "status", "update_relation", "support_count", _r("confidence").alias("confidence"), F.col("contradiction_count").cast("long").alias("contradiction_count"), F.unix_seconds("valid_from").alias("valid_from"), F.unix_seconds("valid_until").alias("valid_until"))
+
+
+# ---- activation --------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, round(ln(sum(power(greatest((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 1e6, 1) / 3600, -.5))), 4) AS base_level, count(*) AS traces FROM events GROUP BY 1, 2")
+def base_level(spark, sf):
+    b = A.base_level_sum(table(spark, sf, "events"), ["user_id", "event_type"], "ts", as_of())
+    return b.select("user_id", "event_type", _r("base_level").alias("base_level"), "traces")
+
+
+@query(_SQL["base_level"])
+def base_level_logsumexp(spark, sf):
+    b = A.base_level(table(spark, sf, "events"), ["user_id", "event_type"], "ts", as_of())
+    return b.select("user_id", "event_type", _r("base_level").alias("base_level"), "traces")
+
+
+@query("""WITH o AS (SELECT user_id, epoch_us(ts) // 86400000000 AS b, count(*) AS w, sum(power((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 1e6, -.5)) AS s, min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2)
+SELECT user_id, b AS day, w AS weight, round(CASE WHEN lo = hi THEN (epoch_us(TIMESTAMP '2024-02-01') - lo) / 1e6 ELSE power(w / s, 2) END / 3600, 2) AS hours FROM o""")
+def compaction(spark, sf):
+    e = table(spark, sf, "events").where(F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("user_id", "ts", F.lit(1).cast("long").alias("weight"))
+    c = G.compact(e, ["user_id"], "ts", "weight", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), as_of())
+    return c.select("user_id", M.time_bucket(F.col("ts"), 86400).alias("b"), "weight", _r(M.seconds_between(F.col("ts"), as_of()) / 3600, 2).alias("hours")).select("user_id", F.floor(F.col("b") / 86400).alias("day"), "weight", "hours")
+
+
+IDF = f"""d AS (SELECT doc_id, {TOKENS} AS t FROM documents), dt AS (SELECT doc_id, unnest(t) AS token FROM d), n AS (SELECT count(*) AS n FROM d),
+idf AS (SELECT token, count(*) AS df, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM dt, n GROUP BY 1)"""
+
+
+def _idf(spark, sf):
+    d = text_candidates(spark, sf)
+    n = table(spark, sf, "documents").count()
+    return d, A.idf(d, "tokens", F.lit(n)), n
+
+
+@query(f"WITH {IDF} SELECT token, df, round(idf, 4) AS idf FROM idf")
+def idf(spark, sf):
+    return _idf(spark, sf)[1].select("token", "df", _r("idf").alias("idf"))
+
+
+FIT = IDF + f""", q AS (SELECT item_id AS cue_id, unnest({TOKENS}) AS token FROM benchmark), qi AS (SELECT cue_id, q.token, coalesce(idf, 1.0) AS idf FROM q LEFT JOIN idf USING (token)),
+qm AS (SELECT cue_id, sum(idf) AS m FROM qi GROUP BY 1), dm AS (SELECT doc_id, sum(idf) AS m FROM dt JOIN idf USING (token) GROUP BY 1),
+fit AS (SELECT cue_id, doc_id, sum(qi.idf) / any_value(qm.m) AS coverage, sum(qi.idf) / any_value(dm.m) AS prec FROM dt JOIN qi USING (token) JOIN qm USING (cue_id) JOIN dm USING (doc_id) GROUP BY 1, 2)"""
+
+
+def _fit(spark, sf):
+    d, weights, n = _idf(spark, sf)
+    return A.weighted_text_fit(d, "doc_id", "tokens", text_cues(spark, sf), weights, n)
+
+
+@query(f"WITH {FIT} SELECT cue_id, doc_id, round(coverage, 4) AS coverage, round(2 * coverage * prec / (coverage + prec), 4) AS f1 FROM fit")
+def text_fit(spark, sf):
+    return _fit(spark, sf).select("cue_id", "doc_id", _r("coverage").alias("coverage"), _r("f1").alias("f1"))
+
+
+RANK = FIT + """, c AS (SELECT item_id AS cue_id, doc_id, -.5 * ln(1 + doc_id % 720) AS base, coalesce(coverage, 0) AS coverage, coalesce(2 * coverage * prec / (coverage + prec), 0) AS f1 FROM benchmark CROSS JOIN documents LEFT JOIN fit ON fit.cue_id = item_id AND fit.doc_id = documents.doc_id),
+s AS (SELECT *, base + coverage - 1 AS activation, base + f1 - 1 AS rank_activation FROM c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY round(rank_activation, 9) DESC, doc_id) AS rank FROM s WHERE activation >= -3)"""
+RANK = RANK.replace("SELECT item_id AS cue_id, doc_id, -.5", "SELECT item_id AS cue_id, documents.doc_id AS doc_id, -.5").replace("(1 + doc_id % 720)", "(1 + documents.doc_id % 720)")
+
+
+def _ranked(spark, sf, k):
+    """The k best documents of each cue.
+
+    A document without a token of the cue can be among them only if it is
+    among the k of highest base level, so those are added instead of all.
+    """
+    base = (-0.5 * F.log(1 + F.col("doc_id") % 720)).alias("base_level")
+    docs = table(spark, sf, "documents").select("doc_id", base)
+    fit = _fit(spark, sf).select("cue_id", "doc_id", "coverage", "f1")
+    top = docs.orderBy(F.desc("base_level"), "doc_id").limit(k)
+    cues = table(spark, sf, "benchmark").select(F.col("item_id").alias("cue_id"))
+    # k rows for every cue
+    also = cues.withColumn("d", F.explode(F.array(*(F.lit(r[0]).cast("long") for r in top.select("doc_id").collect())))).select("cue_id", F.col("d").alias("doc_id")).join(fit.select("cue_id", "doc_id"), ["cue_id", "doc_id"], "left_anti")
+    rows = fit.unionByName(also.withColumn("coverage", F.lit(0.0)).withColumn("f1", F.lit(0.0))).join(docs, "doc_id").withColumn("spread", F.lit(0.0))
+    scored = A.scored(rows, "base_level", "spread", "coverage", "f1", F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    return A.top_k(A.eligible(scored), k, ["cue_id"], [F.desc(F.round("rank_activation", 9)), F.asc("doc_id")])
+
+
+@query(f"WITH {RANK} SELECT cue_id, rank, doc_id, round(activation, 4) AS activation, round(1 / (1 + exp(-(activation + 3))), 4) AS score FROM ranked WHERE rank <= 5")
+def recall_flagship(spark, sf):
+    return _ranked(spark, sf, 5).select("cue_id", F.col("rank").cast("long").alias("rank"), "doc_id", _r("activation").alias("activation"), _r("score").alias("score"))
+
+
+@query(f"WITH {RANK} SELECT cue_id, rank, doc_id, round(rank_activation, 4) AS rank_activation, round(exp(-activation), 4) AS latency_seconds FROM ranked WHERE rank <= 50")
+def rank_topk(spark, sf):
+    return _ranked(spark, sf, 50).select("cue_id", F.col("rank").cast("long").alias("rank"), "doc_id", _r("rank_activation").alias("rank_activation"), _r("latency_seconds").alias("latency_seconds"))
+
+
+@query("""SELECT o_orderkey, round((1.0 * (CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END - 1) + CASE WHEN c_mktsegment IS NULL THEN 0 ELSE 1.5 * (CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END - 1) END) / 2.5, 4) AS penalty FROM orders JOIN customer ON o_custkey = c_custkey""")
+def partial_match(spark, sf):
+    j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    p = A.partial_match({"object": (X.same(F.col("o_orderpriority"), F.lit("1-urgent")), 1.0), "subject": ((F.col("c_mktsegment") == "BUILDING").cast("double"), 1.5), "text": (F.lit(None).cast("double"), 1.0)})
+    return j.select("o_orderkey", _r(p).alias("penalty"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority = '1-URGENT' AS matched, CAST(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS slot_fit,
+CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN CASE WHEN o_orderstatus = 'F' THEN -.5 WHEN o_orderstatus = 'O' THEN .25 + .125 + .5 ELSE .125 END ELSE 0.0 END AS DOUBLE) AS current_term FROM orders""")
+def slot_policy(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "superseded").otherwise("contested")
+    none = F.array().cast("array<string>")
+    o = table(spark, sf, "orders").withColumn("status", status).withColumn("matched", A.slot_match(F.lit("order_priority"), F.col("o_orderpriority"), none, F.lit("order_priority"), F.lit("1-URGENT"), none))
+    return o.select("o_orderkey", "matched", A.slot_fit(F.lit(True), F.col("matched"), F.lit("current"), F.col("status")).alias("slot_fit"), A.current_state(F.lit("semantic"), F.col("status"), none, F.col("matched"), F.lit(True), F.lit(True)).cast("double").alias("current_term"))
+
+
+@query("SELECT item_id, CASE WHEN len(list_intersect(" + TOKENS + ", ['currently','current','now','live','today'])) > 0 THEN 'current' ELSE 'neutral' END AS mode FROM benchmark")
+def temporal_mode(spark, sf):
+    none = F.lit(None).cast("string")
+    return text_cues(spark, sf).select(F.col("cue_id").alias("item_id"), A.temporal_mode(none, F.col("tokens"), none, none).alias("mode"))
+
+
+@query("""WITH s AS (SELECT l_suppkey AS episode_id, list_sort(list(DISTINCT CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'superseded' ELSE 'contested' END)) AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY 1)
+SELECT episode_id, array_to_string(st, ',') AS statuses, list_contains(st, 'superseded') AND NOT list_contains(st, 'active') AS excluded FROM s""")
+def superseded_exclusion(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "superseded").otherwise("contested")
+    j = table(spark, sf, "lineitem").where("l_linenumber = 1").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    s = A.support_statuses(j.select(F.col("l_suppkey").alias("episode_id"), F.col("l_partkey").alias("memory_key"), F.col("l_orderkey").alias("revision_key"), F.col("o_custkey").alias("slot_key"), status.alias("status")))
+    return s.select("episode_id", F.array_join("statuses", ",").alias("statuses"), A.superseded_only(F.col("statuses")).alias("excluded"))
+
+
+@query(f"WITH t AS (SELECT doc_id, source, {TOKENS} AS t FROM documents), e AS (SELECT DISTINCT lower(source) AS source FROM documents) SELECT d.doc_id, string_agg(e.source, ',' ORDER BY e.source) AS seeds FROM t d, e WHERE list_contains(d.t, e.source) GROUP BY 1")
+def entity_seeding(spark, sf):
+    d = text_candidates(spark, sf)
+    s = A.seed_entities(d.select(F.array("source").alias("e")), "e", d.select(F.col("doc_id").alias("cue_id"), "tokens"))
+    return s.select(F.col("cue_id").alias("doc_id"), F.array_join("seeds", ",").alias("seeds"))
+
+
+# ---- spreading ---------------------------------------------------------------
+
+EDGES = "e AS (SELECT DISTINCT l_orderkey AS memory, 'P:' || l_partkey AS entity FROM lineitem UNION SELECT DISTINCT l_orderkey, 'S:' || l_suppkey FROM lineitem), f AS (SELECT entity, count(*) AS fan FROM e GROUP BY 1)"
+
+
+@query(f"WITH {EDGES} SELECT entity, fan FROM f")
+def fan(spark, sf):
+    return S.fan(order_edges(spark, sf))
+
+
+SRC = "src AS (SELECT p_partkey % 10 AS cue_id, 'P:' || p_partkey AS entity FROM part WHERE p_size = 1), fr AS (SELECT cue_id, entity, 1.0 / count(*) OVER (PARTITION BY cue_id) AS a FROM src)"
+
+
+def _sources(spark, sf):
+    return table(spark, sf, "part").where("p_size = 1").select((F.col("p_partkey") % 10).alias("cue_id"), F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("entity"))
+
+
+@query(f"WITH {EDGES}, {SRC} SELECT cue_id, memory, round(least(1, sum(a / fan)), 4) AS spreading FROM fr JOIN f USING (entity) JOIN e USING (entity) WHERE a >= .001 AND a / fan >= .001 GROUP BY 1, 2")
+def spread_1hop(spark, sf):
+    return S.spread(order_edges(spark, sf), _sources(spark, sf), ActivationConfig(hops=1, least_activation=0.001)).select("cue_id", "memory", _r("spreading").alias("spreading"))
+
+
+TWO = f"""{EDGES}, {SRC}, m1 AS (SELECT cue_id, memory, sum(a / fan) AS g FROM fr JOIN f USING (entity) JOIN e USING (entity) WHERE a >= .0001 AND a / fan >= .0001 GROUP BY 1, 2), dg AS (SELECT memory, count(*) AS d FROM e GROUP BY 1),
+p AS (SELECT m1.cue_id, e.entity, sum(g * .5 / greatest(1, d - 1)) AS a FROM m1 JOIN dg USING (memory) JOIN e USING (memory) LEFT JOIN fr ON fr.cue_id = m1.cue_id AND fr.entity = e.entity WHERE fr.entity IS NULL AND g * .5 / greatest(1, d - 1) >= .0001 GROUP BY 1, 2),
+m2 AS (SELECT cue_id, memory, sum(a / fan) AS g FROM p JOIN f USING (entity) JOIN e USING (entity) WHERE a >= .0001 AND a / fan >= .0001 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {TWO} SELECT cue_id, memory, round(least(1, sum(g)), 4) AS spreading, min(h) AS hop FROM (SELECT *, 1 AS h FROM m1 UNION ALL SELECT *, 2 FROM m2) GROUP BY 1, 2")
+def spread_2hop(spark, sf):
+    return S.spread(order_edges(spark, sf), _sources(spark, sf), ActivationConfig(least_activation=0.0001)).select("cue_id", "memory", _r("spreading").alias("spreading"), "hop")
+
+
+LINKS = "l AS (SELECT a.l_orderkey AS lo, b.l_orderkey AS hi, 1 - exp(-count(*) / 3.0) AS s FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 1 GROUP BY 1, 2)"
+
+
+@query(f"""WITH {EDGES}, {SRC}, {LINKS}, m AS (SELECT cue_id, memory, sum(a / fan) AS g FROM fr JOIN f USING (entity) JOIN e USING (entity) WHERE a >= .0001 AND a / fan >= .0001 GROUP BY 1, 2), b AS (SELECT lo AS x, hi AS y, s FROM l UNION ALL SELECT hi, lo, s FROM l),
+n AS (SELECT cue_id, y AS memory, sum(g * .5 * .25 * s) AS g FROM m JOIN b ON memory = x WHERE g * .5 * .25 * s >= .0001 GROUP BY 1, 2) SELECT cue_id, memory, round(least(1, sum(g)), 4) AS spreading FROM (FROM m UNION ALL FROM n) GROUP BY 1, 2""")
+def learned_spread(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    b = li.select(F.col("l_orderkey").alias("hi"), F.col("l_partkey").alias("part"))
+    links = li.join(b, (F.col("l_partkey") == F.col("part")) & (F.col("l_orderkey") < F.col("hi"))).groupBy(F.col("l_orderkey").alias("left"), F.col("hi").alias("right")).agg((1 - F.exp(-F.count(F.lit(1)) / 3.0)).alias("strength"))
+    return S.spread(order_edges(spark, sf), _sources(spark, sf), ActivationConfig(hops=1, least_activation=0.0001), links).select("cue_id", "memory", _r("spreading").alias("spreading"))
+
+
+@query("""WITH q AS (SELECT ['P:' || l_partkey, 'S:' || l_suppkey] AS c, l_orderkey FROM lineitem WHERE l_linenumber = 1), m AS (SELECT l_orderkey, list_distinct(list('P:' || l_partkey) || list('S:' || l_suppkey)) AS e FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+SELECT l_orderkey, CAST(CASE WHEN len(list_distinct(list_intersect(c, e))) >= 2 THEN .5 ELSE 0.0 END AS DOUBLE) AS bonus FROM q JOIN m USING (l_orderkey)""")
+def conjunction(spark, sf):
+    li = table(spark, sf, "lineitem")
+    p, s = F.concat(F.lit("P:"), F.col("l_partkey").cast("string")), F.concat(F.lit("S:"), F.col("l_suppkey").cast("string"))
+    m = li.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_distinct(F.concat(F.collect_list(p), F.collect_list(s))).alias("e"))
+    j = li.where("l_linenumber = 1").select("l_orderkey", F.array(p, s).alias("c")).join(m, F.col("l_orderkey") == F.col("k"))
+    return j.select("l_orderkey", A.conjunction(F.col("c"), F.col("e")).cast("double").alias("bonus"))
+
+
+# ---- selection ---------------------------------------------------------------
+
+
+def _pool(spark, sf, k=50):
+    d = text_candidates(spark, sf).select(F.col("doc_id").alias("key"), "tokens")
+    prints = table(spark, sf, "documents").select(F.col("doc_id").alias("p_id"), F.sha2("text", 256).alias("fingerprint"), X.token_estimate(F.col("text")).alias("n_tokens"))
+    return _ranked(spark, sf, k).join(d, F.col("doc_id") == F.col("key")).join(prints, F.col("doc_id") == F.col("p_id"))
+
+
+@query(f"""WITH RECURSIVE {RANK}, txt AS (SELECT doc_id, {TOKENS} AS t, sha256(text) AS fp FROM documents),
+pool AS (SELECT cue_id, rank, doc_id, fp, list_filter(t, lambda x: NOT regexp_full_match(x, '[0-9]+')) AS w FROM ranked JOIN txt USING (doc_id) WHERE rank <= 50),
+go AS (SELECT item_id AS cue_id, 0 AS step, [0::BIGINT][1:0] AS kept FROM benchmark
+ UNION ALL SELECT go.cue_id, go.step + 1, CASE WHEN len(kept) >= 5 OR EXISTS (SELECT 1 FROM pool k WHERE k.cue_id = go.cue_id AND list_contains(go.kept, k.rank) AND (k.fp = n.fp OR (len(k.w) > 0 AND len(n.w) > 0 AND len(list_intersect(k.w, n.w)) >= .75 * len(list_distinct(k.w || n.w))))) THEN kept ELSE list_append(kept, n.rank) END
+ FROM go JOIN pool n ON n.cue_id = go.cue_id AND n.rank = go.step + 1)
+SELECT cue_id, doc_id AS key, rank FROM ranked JOIN (SELECT cue_id, unnest(kept) AS rank FROM go QUALIFY row_number() OVER (PARTITION BY cue_id ORDER BY step DESC) = 1) USING (cue_id, rank)""")
+def greedy_collapse(spark, sf):
+    return R.collapse(_pool(spark, sf), "cue_id", "rank", 5).select("cue_id", "key", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def wm_greedy(spark, sf):
+    p = _pool(spark, sf).withColumn("relevance", F.col("f1")).withColumn("importance", F.lit(0.5))
+    base = W.priority(F.col("score"), F.col("relevance"), F.col("importance"), F.lit(0.0))
+    p = p.withColumn("adjusted", W.adjusted(base, F.lit(None).cast("double"))).withColumn("kind", F.lit("episode"))
+    return R.select_working_memory(p, "cue_id").select("cue_id", "place", "key", _r("final_score").alias("final_score"))
+
+
+@query(f"WITH {RANK} SELECT cue_id, doc_id, round(.45 * (1 / (1 + exp(-(activation + 3)))) + .35 * f1 + .15 * .5 + .05 * power(2, -rank * 30 / 300.0), 4) AS priority FROM ranked WHERE rank <= 50")
+def wm_priority(spark, sf):
+    carried = W.carryover(F.lit(1.0), F.col("rank") * 30.0)
+    return _ranked(spark, sf, 50).select("cue_id", "doc_id", _r(W.priority(F.col("score"), F.col("f1"), F.lit(0.5), carried)).alias("priority"))
+
+
+@query(f"WITH q AS (SELECT item_id, {TOKENS} AS t FROM benchmark), r AS (SELECT doc_id, {TOKENS} AS t, lang FROM documents), h AS (SELECT item_id, doc_id, len(list_intersect(q.t, r.t)) AS h, len(q.t) + len(r.t) AS n, lang FROM q, r) SELECT item_id AS cue_id, doc_id, round((2.0 * h / n + CASE WHEN lang = 'en' THEN 1 ELSE 0 END) / 2, 4) AS relevance FROM h WHERE h > 0")
+def cue_relevance(spark, sf):
+    pairs = _fit(spark, sf).select("cue_id", "doc_id")
+    q = text_cues(spark, sf).select(F.col("cue_id").alias("q_id"), F.col("tokens").alias("q_tokens"))
+    j = pairs.join(q, F.col("cue_id") == F.col("q_id")).join(text_candidates(spark, sf).withColumnRenamed("doc_id", "d_id"), F.col("doc_id") == F.col("d_id"))
+    rel = W.cue_relevance([W.text_relevance(F.col("q_tokens"), F.col("tokens")), (F.col("lang") == "en").cast("double"), F.lit(None).cast("double")])
+    return j.select("cue_id", "doc_id", _r(rel).alias("relevance"))
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) = 0 THEN 0 ELSE greatest(1, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT)) END AS n_tokens FROM documents")
+def token_estimate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("n_tokens"))
+
+
+@query(f"WITH {RANK}, x AS (SELECT cue_id, rank, '- ' || replace(text, chr(10), chr(10) || '  ') AS s FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5) SELECT cue_id, md5('Relevant memory:' || chr(10) || chr(10) || string_agg(s, chr(10) ORDER BY rank)) AS text_md5 FROM x GROUP BY 1")
+def render_context(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("d_id"), "text")
+    r = _ranked(spark, sf, 5).join(d, F.col("doc_id") == F.col("d_id"))
+    return R.render(r, "cue_id", "rank", "text").select("cue_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+# ---- forgetting, learning, quality ------------------------------------------
+
+BASE = "b AS (SELECT user_id, event_type, ln(sum(power(greatest((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 1e6, 1) / 3600, -.5))) AS base, least(1.0, avg(value) / 100) AS importance, max(ts) AS last FROM events GROUP BY 1, 2)"
+
+
+def _states(spark, sf):
+    e = table(spark, sf, "events")
+    base = A.base_level_sum(e, ["user_id", "event_type"], "ts", as_of())
+    imp = e.groupBy(F.col("user_id").alias("u"), F.col("event_type").alias("t")).agg(F.least(F.lit(1.0), F.avg("value") / 100).alias("importance"), F.max("ts").alias("last"))
+    return base.join(imp, (F.col("user_id") == F.col("u")) & (F.col("event_type") == F.col("t"))).withColumn("retention", G.retention_score(F.col("base_level"), F.col("importance")))
+
+
+@query(f"WITH {BASE} SELECT user_id, event_type, round(1 / (1 + exp(-(base + 3))) * (.15 + .85 * importance), 4) AS retention FROM b")
+def retention_score(spark, sf):
+    return _states(spark, sf).select("user_id", "event_type", _r("retention").alias("retention"))
+
+
+@query(f"""WITH {BASE}, r AS (SELECT *, round(1 / (1 + exp(-(base + 3))) * (.15 + .85 * importance), 9) AS s FROM b) SELECT user_id, event_type, CASE WHEN s >= .5 THEN 'active' WHEN s > .2 THEN 'fading' WHEN (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last)) / 1e6 >= 604800 AND event_type <> 'purchase' THEN 'forgotten' ELSE 'fading' END AS state,
+s >= .5 AND user_id % 2 = 0 AS reactivated FROM r""")
+def forgetting_states(spark, sf):
+    s = _states(spark, sf).withColumn("s", F.round("retention", 9)).withColumn("prev_state", F.when(F.col("user_id") % 2 == 0, "fading")).withColumn("prev_since", F.col("last")).withColumn("prev_forgotten_at", F.lit(None).cast("timestamp_ntz"))
+    return G.transitions(s, "s", as_of(), F.col("event_type") == "purchase", ForgettingConfig(fading=0.5, forgotten=0.2)).select("user_id", "event_type", "state", "reactivated")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def forgotten_filter(spark, sf):
+    dyn = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") == "P", "forgotten").otherwise("active").alias("state"))
+    return G.drop_forgotten(table(spark, sf, "customer").select("c_custkey"), dyn, ["c_custkey"])
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' AND ts <= TIMESTAMP '2024-02-01' GROUP BY 1 HAVING count(*) >= 5)")
+def burst_filter(spark, sf):
+    e = table(spark, sf, "events")
+    return G.burst_limited(e.select("user_id").distinct(), e, ["user_id"], "ts", as_of(), 5, 259200.0)
+
+
+FB = "fb AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'incorrect' WHEN quality = 1 THEN 'helpful' ELSE 'unhelpful' END AS outcome FROM labels)"
+
+
+@query(f"""WITH {FB}, c AS (SELECT source, count(*) FILTER (WHERE outcome = 'helpful') AS helpful, count(*) FILTER (WHERE outcome = 'unhelpful') AS unhelpful, count(*) FILTER (WHERE outcome = 'incorrect') AS incorrect FROM fb JOIN documents USING (doc_id) GROUP BY 1)
+SELECT source, helpful, unhelpful, incorrect, round((1.0 + helpful) / (2.0 + helpful + unhelpful + incorrect), 4) AS utility, round(CASE WHEN helpful < 2 THEN 0 ELSE 1 - exp(-helpful / 3.0) END, 4) AS strength FROM c""")
+def utility(spark, sf):
+    j = feedback(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    c = L.counts(j, ["source"])
+    return c.select("source", "helpful", "unhelpful", "incorrect", _r(L.utility(F.col("helpful"), F.col("unhelpful"), F.col("incorrect"))).alias("utility"), _r(L.association_strength(F.col("helpful"))).alias("strength"))
+
+
+@query("""WITH f AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS i FROM f)
+SELECT a.l_partkey AS "left", b.l_partkey AS "right", count(*) AS n FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND a.i < b.i AND b.i <= 8 GROUP BY 1, 2""")
+def coactivation_pairs(spark, sf):
+    return L.coactivation_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
+
+
+@query("SELECT o_custkey, round(sum(o_totalprice * (CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)) / sum(o_totalprice), 4) AS conflict, round(1 - exp(-greatest(0, count(DISTINCT o_orderpriority) - 1) / 3.0), 4) AS diversity FROM orders GROUP BY 1")
+def assessment_signals(spark, sf):
+    o = table(spark, sf, "orders").withColumn("c", Q.conflict(F.when(F.col("o_orderstatus") == "P", "contested").otherwise("superseded"), F.lit(0), F.lit(0)))
+    return o.groupBy("o_custkey").agg(_r(Q.weighted_mean(F.col("o_totalprice"), F.col("c"))).alias("conflict"), _r(Q.diversity(F.countDistinct("o_orderpriority"))).alias("diversity"))
+
+
+@query(f"WITH {RANK}, qc AS (SELECT item_id AS cue_id, {TOKENS} AS c FROM benchmark), a AS (SELECT cue_id, list_distinct(flatten(list(t))) AS t FROM ranked JOIN d USING (doc_id) WHERE rank <= 5 GROUP BY 1) SELECT cue_id, round(len(list_intersect(c, t)) * 1.0 / len(c), 4) AS coverage FROM a JOIN qc USING (cue_id)")
+def cue_coverage(spark, sf):
+    q = text_cues(spark, sf).select(F.col("cue_id").alias("q_id"), F.col("tokens").alias("cue"))
+    r = _pool(spark, sf, 5).join(q, F.col("cue_id") == F.col("q_id"))
+    return Q.cue_coverage(r, "cue_id", "cue", "tokens").select("cue_id", _r("coverage").alias("coverage"))
+
+
+@query("""WITH s AS (SELECT user_id, round(avg(value) / 100, 6) AS coverage, round(count(*) / 100.0, 6) AS strength, round(count(DISTINCT event_type) / 5.0, 6) AS diversity FROM events GROUP BY 1)
+SELECT user_id, concat_ws(',', CASE WHEN coverage < .4 THEN 'low_cue_coverage' END, CASE WHEN strength < .4 THEN 'weak_activation' END, CASE WHEN diversity < .3 THEN 'low_diversity' END, CASE WHEN coverage < .35 OR strength < .45 THEN 'missing_knowledge' END) AS flags FROM s""")
+def quality_flags(spark, sf):
+    s = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg("value") / 100, 6).alias("coverage"), F.round(F.count(F.lit(1)) / 100.0, 6).alias("strength"), F.round(F.countDistinct("event_type") / 5.0, 6).alias("diversity"))
+    s = s.withColumns({"evidence": F.lit(1.0), "conflict": F.lit(0.0), "pressure": F.lit(0.0), "utility": F.lit(0.5)})
+    return Q.flags(s).select("user_id", F.array_join("flags", ",").alias("flags"))
+
+
+@query("""SELECT o_custkey, CASE WHEN bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'O') THEN 'resolved' ELSE 'unresolved' END AS answerability FROM orders GROUP BY 1""")
+def answerability(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "O", "active").otherwise("superseded")
+    a = Q.answerability(F.lit(True), F.lit("current"), F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority"), status)
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(a.alias("answerability"))
+
+
+@query("SELECT c_nationkey AS tenant, count(*) AS memories, count(*) FILTER (WHERE c_acctbal < 0) AS overdrawn FROM customer GROUP BY 1")
+def tenant_counts(spark, sf):
+    return table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("tenant")).agg(F.count(F.lit(1)).alias("memories"), F.count_if(F.col("c_acctbal") < 0).alias("overdrawn"))
+
+
+@query("SELECT memory, kind FROM (SELECT o_orderkey AS memory, 'episode' AS kind FROM orders UNION ALL SELECT c_custkey, 'semantic' FROM customer)")
+def candidate_union(spark, sf):
+    a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("memory"), F.lit("episode").alias("kind"), "o_orderdate")
+    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("memory"), F.lit("semantic").alias("kind"))
+    return a.unionByName(b, allowMissingColumns=True).select("memory", "kind")
