@@ -161,12 +161,12 @@ def sessionize_grouped(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("observations"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.array_sort(F.collect_set("role")).alias("roles"))
 
 
-@query(SESS + """SELECT user_id, CAST(session AS BIGINT) AS session, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS observations, round(greatest(0, least(1, .5 * max(attention) + .3 * avg(attention) + .05 * max(CAST(terminal AS INT)))), 6) AS importance,
+@query(SESS + """SELECT user_id, CAST(session AS BIGINT) AS session, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS observations, round(greatest(0, least(1, .5 * max(attention) + .3 * avg(attention) + .05 * max(CAST(terminal AS INT)))), 9) AS importance,
 round(.7 + .3 * avg(CASE WHEN trim(content) <> '' THEN 1.0 ELSE 0 END), 4) AS confidence, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types FROM s GROUP BY 1, 2""")
 def episode_rollup(spark, sf):
     r = E.rollup(_sessions(spark, sf), ["user_id"], "event_id", "ts", "content", "attention", "terminal", "event_type")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return r.select("user_id", F.col("session").cast("long").alias("session"), us("started_at").alias("started"), us("ended_at").alias("ended"), "observations", _r("importance", 6).alias("importance"), _r("confidence").alias("confidence"), F.array_join("event_types", ",").alias("event_types"))
+    return r.select("user_id", F.col("session").cast("long").alias("session"), us("started_at").alias("started"), us("ended_at").alias("ended"), "observations", _r("importance", 9).alias("importance"), _r("confidence").alias("confidence"), F.array_join("event_types", ",").alias("event_types"))
 
 
 @query(SESS + """, a AS (SELECT user_id, session, ts, event_id, content, lag(content) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS p FROM s)
