@@ -83,10 +83,10 @@ class SnapshotStore:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def _pointer(self, name: str) -> str | None:
-        fs, where = self._fs(f"{self.folder}/{name}/_current")
+        fs, where = self._fs(f"{self.folder}/{name}/current.txt")
         if not fs.exists(where):
             return None
-        return self.spark.read.text(f"{self.folder}/{name}/_current").first()[0]
+        return self.spark.read.text(f"{self.folder}/{name}/current.txt").first()[0]
 
     def read(self, name: str) -> DataFrame | None:
         at = self._pointer(name)
@@ -96,7 +96,7 @@ class SnapshotStore:
         """Write a snapshot of ``df``, which may be derived from the current one."""
         at, old = f"v-{uuid.uuid4().hex}", self._pointer(name)
         df.write.parquet(f"{self.folder}/{name}/{at}")
-        fs, where = self._fs(f"{self.folder}/{name}/_current")
+        fs, where = self._fs(f"{self.folder}/{name}/current.txt")
         out = fs.create(where, True)
         out.write(bytearray(at.encode()))
         out.close()
