@@ -190,11 +190,12 @@ def judge(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig(), st
 def keep_good(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig(), stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with their columns.
 
-    The statistics are computed a second time rather than joined back, so the
-    texts aren't shuffled. The cutoffs are a row per stratum in a written
+    The statistics are written for the cutoffs and computed a second time for
+    the verdict rather than joined back, so the texts aren't shuffled. The cutoffs are a row per stratum in a written
     table; Spark broadcasts it if it is below the session's threshold.
     """
     rows = docs.select(F.col("doc_id"), stratum_of(F.col(stratum_col)).alias("stratum"), text_stats(F.col("text")).alias("s"))
+    rows = write(rows, "quality-stats").df
     cutoffs = write(certified_cutoffs(rows, labels, cfg).select(F.col("stratum").alias("__stratum"), F.col("cutoffs").alias("__cutoffs")), "cutoffs").df
     judged = docs.join(cutoffs, stratum_of(docs[stratum_col]) == F.col("__stratum"), "left")
     verdict = let(text_stats(docs["text"]), lambda s: ~base_failed(s, cfg) & passes(s, F.col("__cutoffs")))
