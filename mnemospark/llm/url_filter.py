@@ -3,7 +3,8 @@
 A rule fits a host and its subdomains, and paths that start with its own; the
 longest rule wins. Hosts of pages that a rule allows or blocks are seeds.
 Trust flows along links between hosts by personalised PageRank from the
-trusted seeds; distrust flows against links from the blocked seeds. A page
+trusted seeds; distrust flows against links from the blocked seeds. A seed's
+share of the teleport is that of its pages so judged. A page
 that no rule fits is blocked if its host's distrust exceeds ``threshold`` and
 its trust, and allowed otherwise.
 
@@ -31,7 +32,7 @@ class UrlConfig:
     rounds: int = 12
     tolerance: float = 1e-6
     #: distrust, over a host's even share of it, above which a host is blocked
-    threshold: float = 1.0
+    threshold: float = 0.4
 
 
 def _after(url: Column) -> Column:
@@ -98,19 +99,20 @@ def judge(pages: DataFrame, cfg: UrlConfig = UrlConfig()) -> DataFrame:
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("html").alias("html"))
     judged = parts.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), cfg).alias("r"))
-    hosts = write(judged.groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").alias("allow"), F.count_if(F.col("r.verdict") == "block").alias("block")), "hosts").df
+    hosts = write(judged.groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").alias("allow"), F.count_if(F.col("r.verdict") == "block").alias("block"), F.count(F.lit(1)).alias("pages")), "hosts").df
     edges = write(host_edges(parts.select("host", "html")), "links").df
     known = hosts.select("host").union(edges.select("dst")).distinct().where("host <> ''").count()
 
-    def seeds(mine: str, other: str) -> DataFrame:
-        share = F.col(mine) / (F.col(mine) + F.col(other))
+    def seeds(mine: str) -> DataFrame:
+        # a host counts by the share of its pages that rules judge so
+        share = F.col(mine) / F.col("pages")
         part = hosts.where((F.col(mine) > 0) & (F.col("host") != "")).select("host", share.alias("s"))
         whole = part.agg(F.sum("s")).first()[0] or 1.0
         return part.select("host", (F.col("s") / whole).alias("share"))
 
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = propagate(edges, seeds("allow", "block"), cfg).select(F.col("host").alias("a_host"), F.col("rank").alias("trust"))
-    distrust = propagate(back, seeds("block", "allow"), cfg).select(F.col("host").alias("b_host"), F.col("rank").alias("distrust"))
+    trust = propagate(edges, seeds("allow"), cfg).select(F.col("host").alias("a_host"), F.col("rank").alias("trust"))
+    distrust = propagate(back, seeds("block"), cfg).select(F.col("host").alias("b_host"), F.col("rank").alias("distrust"))
     scored = hosts.select("host").join(trust, F.col("host") == F.col("a_host"), "left").join(distrust, F.col("host") == F.col("b_host"), "left")
     scored = write(scored.select(F.col("host").alias("h_host"), (F.coalesce("trust", F.lit(0.0)) * known).alias("trust"), (F.coalesce("distrust", F.lit(0.0)) * known).alias("distrust")), "scores").df
     out = judged.join(scored, F.col("host") == F.col("h_host"), "left")
