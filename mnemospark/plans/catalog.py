@@ -632,3 +632,56 @@ def candidate_union(spark, sf):
     a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("memory"), F.lit("episode").alias("kind"), "o_orderdate")
     b = table(spark, sf, "customer").select(F.col("c_custkey").alias("memory"), F.lit("semantic").alias("kind"))
     return a.unionByName(b, allowMissingColumns=True).select("memory", "kind")
+
+
+# ---- the rest of the inventory ------------------------------------------------
+
+
+@query("SELECT o_custkey AS subject, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END, o_totalprice DESC, o_orderkey) = 1")
+def same_slot_collapse(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("subject"), "o_orderkey", "o_orderpriority", "o_totalprice", F.when(F.col("o_orderstatus") == "O", "active").otherwise("superseded").alias("status"))
+    return R.same_slot_collapse(o, "subject", "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("subject", "o_orderkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'global' ELSE sha256('text:' || lower(c_mktsegment) || '|subject_id:' || c_custkey || '|entity_ids:' || CASE WHEN c_name < c_mktsegment THEN c_name || ',' || c_mktsegment ELSE c_mktsegment || ',' || c_name END) END AS context_key FROM customer")
+def learning_context_key(spark, sf):
+    other = F.col("c_mktsegment") != "BUILDING"
+    key = L.context_key(F.when(other, F.col("c_mktsegment")), F.when(other, F.col("c_custkey").cast("string")), F.when(other, F.array("c_name", "c_mktsegment")))
+    return table(spark, sf, "customer").select("c_custkey", key.alias("context_key"))
+
+
+@query(f"WITH {FB} SELECT doc_id, source, 1 AS weight FROM fb JOIN documents USING (doc_id) WHERE outcome = 'helpful'")
+def reinforcement_scan(spark, sf):
+    helpful = feedback(spark, sf).where("outcome = 'helpful'")
+    return helpful.join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "source", F.lit(1).alias("weight"))
+
+
+@query("SELECT l_partkey, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS helpful, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS unhelpful, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS incorrect FROM lineitem WHERE l_linestatus = 'O' OR l_linestatus = 'F' GROUP BY 1")
+def combined_learning_counts(spark, sf):
+    outcome = F.when(F.col("l_returnflag") == "A", "helpful").when(F.col("l_returnflag") == "R", "unhelpful").otherwise("incorrect")
+    li = table(spark, sf, "lineitem").select("l_partkey", F.when(F.col("l_linestatus") == "O", "global").otherwise("ctx").alias("context_key"), outcome.alias("outcome"))
+    return L.combined_counts(L.counts(li, ["l_partkey", "context_key"]), ["l_partkey"], "ctx")
+
+
+@query("SELECT doc_id, CAST(least(1.0, CASE WHEN lang = 'fr' THEN .35 ELSE 0 END + CASE WHEN source = 'src1' THEN .35 ELSE 0 END) AS DOUBLE) AS penalty FROM documents")
+def stale_goal_penalty(spark, sf):
+    status, tags = F.when(F.col("lang") == "fr", "superseded").otherwise("active"), F.when(F.col("source") == "src1", F.array(F.lit("stale"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "documents").select("doc_id", W.stale_goal_penalty(F.lit("what is Stale here"), status, tags).cast("double").alias("penalty"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 'reinforces' WHEN o_orderstatus = 'P' THEN 'supersedes' ELSE CASE WHEN o_orderpriority = '1-URGENT' THEN 'reinforces' ELSE 'conflicts' END END AS relation FROM orders""")
+def update_relation(spark, sf):
+    claim = F.col("o_orderpriority") == "1-URGENT"
+    rel = F.when(F.col("o_orderstatus") == "P", "before").otherwise("overlaps")
+    return table(spark, sf, "orders").select("o_orderkey", M.update_relation(claim, claim, F.lit(True), F.lit(True), rel).alias("relation"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, -4 + o_totalprice / 200000 AS activation, o_orderpriority = '1-URGENT' AS admitted FROM orders) SELECT o_orderkey, CASE WHEN admitted THEN 'semantic_slot_admission' ELSE 'threshold' END AS eligibility FROM a WHERE activation >= -3 OR admitted""")
+def admission(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", (-4 + F.col("o_totalprice") / 200000).alias("activation"), (F.col("o_orderpriority") == "1-URGENT").alias("admitted"))
+    return A.eligible(o, F.col("admitted")).select("o_orderkey", F.when(F.col("admitted"), "semantic_slot_admission").otherwise("threshold").alias("eligibility"))
+
+
+@query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def time_buckets(spark, sf):
+    return table(spark, sf, "events").groupBy(M.time_bucket(F.col("ts"), 86400).alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
