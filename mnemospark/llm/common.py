@@ -25,6 +25,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER_ASCII, LOWER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dirs: dict[str, str] = {}
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +47,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, deleted at the driver's end.
+
+    Results are lazy and may read it until then. What a driver that is killed
+    leaves behind is named by the label and a unique number.
+    """
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_clean, spark)
+    _paths.append(path)
+    return path
+
+
+def _clean(spark: SparkSession) -> None:
+    for path in _paths:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(local_path(path), ignore_errors=True)
+        elif spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            drop_path(spark, path)
+    _paths.clear()
 
 
 def local_path(path: str) -> str:
     """The path for Python's own file functions; shared folders are mounted."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"archives need a shared folder that is mounted, not {path}")
     return path[len("file://") :] if path.startswith("file://") else path[len("file:") :] if path.startswith("file:") else path
 
 
