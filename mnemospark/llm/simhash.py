@@ -105,7 +105,8 @@ def linked_pairs(fps: DataFrame, most: int = 6) -> DataFrame:
     a, b = index.select("key", F.col("fp").alias("a")), index.select("key", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(x) <= most) & (_pair_slot(x) == F.shiftright("key", WIDTH - 1))
-    return a.join(b, "key").where(close).select("a", "b")
+    # the planner's estimate for an exploded table is that of the table before it, so without the hint it may broadcast the index
+    return a.hint("merge").join(b.hint("merge"), "key").where(close).select("a", "b")
 
 
 def components(edges: Written) -> Written:
@@ -159,16 +160,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     """The rows of ``docs`` less all but one of each group of near-duplicates.
 
     The document with the group's smallest id stays. Where that id stands in
-    several rows, or is null, one row of them stays (the least text).
-    Columns are those of ``docs``.
+    several rows, one row of it stays. Rows of a null id come after all
+    others and are told apart by a hash of their text. Columns are those of
+    ``docs``.
     """
-    found = near_duplicates(docs, id_col, text_col, most)
-    mine = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = mine.groupBy(F.col("doc_id").alias("__id"), F.col("component_id").alias("__c")).agg(F.count(F.lit(1)).alias("__n"), F.min("fingerprint").alias("__f"))
-    stays = write(stays.select("__id", (F.col("__n") > 1).alias("__many")), "stays")
-    single = docs.join(stays.df.where("not __many"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    if stays.df.where("__many").limit(1).count() == 0:
-        return single
-    # ids of several rows: their copies (one fingerprint and id) leave one row each
-    again = docs.join(stays.df.where("__many"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    return single.unionByName(again.dropDuplicates([id_col]))
+    unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit(1 << 61))
+    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), unnamed))
+    found = near_duplicates(keyed, "__key", text_col, most)
+    mine = found.where(F.col("doc_id") == F.col("component_id"))
+    stays = write(mine.groupBy(F.col("doc_id").alias("__id")).agg((F.count(F.lit(1)) > 1).alias("__many")), "stays").df
+    # one key of a long: a broadcast of it, where it is small, is a compact table of longs
+    chosen = lambda rows: keyed.join(rows.select("__id"), F.col("__key") == F.col("__id"), "left_semi")
+    single = chosen(stays.where("not __many"))
+    if stays.where("__many").limit(1).count():
+        single = single.unionByName(chosen(stays.where("__many")).dropDuplicates(["__key"]))
+    return single.drop("__key")
