@@ -100,7 +100,11 @@ def archive(pages: DataFrame, folder: str, cfg: WarcConfig = WarcConfig()) -> Da
     Of rows that share the smallest page id of their payload all are
     responses. An empty table makes no archive.
     """
-    sample = pages.orderBy(F.xxhash64("page_id", "url"), "page_id").limit(cfg.sample).select(F.substring(F.coalesce("html", F.lit("")).cast("binary"), 1, cfg.sample_bytes)).collect()
+    # the hashes' cut is found first: a top-k of the payloads would send k of them from every task
+    order = F.xxhash64("page_id", "url")
+    cut = pages.select(order.alias("h")).orderBy("h").limit(cfg.sample).agg(F.max("h")).first()[0]
+    head = F.substring(F.coalesce("html", F.lit("")).cast("binary"), 1, cfg.sample_bytes)
+    sample = [] if cut is None else pages.where(order <= cut).select(head).limit(cfg.sample).collect()
     samples = [record(i, "http://www.example.com/", bytes(r[0]), len(r[0]), "0" * 64, None, None, "response") for i, r in enumerate(sample)]
     dictionary = train_dictionary(samples, cfg.dictionary_bytes)
     at = local_path(folder)
