@@ -1,13 +1,18 @@
 """Chat formatting by linking quotations to the messages they come from.
 
 A line's quote level is the number of ``>`` it starts with, blanks between
-them allowed. Runs of lines of one level are passages; a passage is normalised
-(lower case, white space to single spaces) and hashed. Originals are what
-messages say themselves: the whole of it, each paragraph and each line. A
-passage comes from the latest earlier turn of its conversation that has its
-hash; a message replies to the latest origin of its least nested passages.
-Replies give threads (the first message reached), depths, and an order in
-which every message follows the one it replies to.
+them allowed. Runs of lines of one level are passages, compared by their words
+(lower case). Originals are what messages say themselves: any run of their
+lines, whether or not quotes stood between them. A passage comes from the
+latest earlier turn of its conversation that has such a run of equal words; a
+message replies to the latest origin of its least nested passages. Replies
+give threads (the first message reached), depths, and an order in which every
+message follows the one it replies to.
+
+Runs aren't listed. Blocks of 1, 2, 4, ... words have hashes made of those of
+their halves. A passage is two blocks of the largest size that fits, one from
+its start and one to its end; a message says it where a line starts with the
+first block and a line ends, the passage's number of words on, with the second.
 
 "Latest earlier turn" is found without pairing quotes with originals: rows of
 a (conversation, hash) are cut into blocks of turns, whose last originals are
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, Written, let, write
+from .common import SPACE_CHARS, Written, let, words_of, write
 
 BLOCK = 4096
 _QUOTE = "^((?:[ \\t]*>)+)"
@@ -37,12 +42,67 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), line)
 
 
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), SPACE + "+", " "))
+def _word_hashes(text: Column) -> Column:
+    return F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def _hash(text: Column) -> Column:
-    return F.xxhash64(normalised(text))
+def _doubled(hashes: Column, size: Column) -> Column:
+    """Hashes of blocks of twice ``size`` words, by first word, from those of ``size``."""
+    n = F.size(hashes) - size
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, size + 1, n), lambda x, y: F.xxhash64(x, y))
+
+
+def _steps(n: Column) -> Column:
+    """[1, ..., n]; empty for a null n or one below 1."""
+    return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+def _doublings(n: Column) -> Column:
+    """How often blocks of one word can be doubled in ``n`` words, which are one at least."""
+    return F.length(F.bin(n)) - 1
+
+
+def _passage(words: Column) -> Column:
+    """(words, size, first, last, hash) of a passage's word hashes: its two largest blocks; null without words."""
+    at = F.struct(words.alias("h"), F.lit(1).alias("size"))
+    grown = F.aggregate(_steps(_doublings(F.size(words))), at, lambda x, _: F.struct(_doubled(x["h"], x["size"]).alias("h"), (x["size"] * 2).alias("size")))
+
+    def ends(x: Column) -> Column:
+        first, last, n = F.get(x["h"], F.lit(0)), F.element_at(x["h"], -1), F.size(x["h"]) + x["size"] - 1
+        return F.struct(n.alias("words"), x["size"].alias("size"), first.alias("first"), last.alias("last"), F.xxhash64(n, first, last).alias("hash"))
+
+    return F.when(F.size(words) > 0, let(grown, ends))
+
+
+def _blocks(own: Column, most: int) -> Column:
+    """[{starts, size, place, h}]: blocks of up to ``most`` words that start at ``place``, where a line starts, or end before it, where one ends."""
+
+    def of_line(line: Column) -> Column:
+        return let(_word_hashes(line), lambda w: F.transform(w, lambda h, i: F.struct(h.alias("h"), (i == 0).alias("starts"), (i == F.size(w) - 1).alias("ends"))))
+
+    def places(x: Column) -> Column:
+        at = F.transform(x, lambda y, i: F.struct(i.alias("i"), y["starts"].alias("starts"), y["ends"].alias("ends")))
+        return F.struct(
+            F.transform(x, lambda y: y["h"]).alias("h"),
+            F.transform(F.filter(at, lambda y: y["starts"]), lambda y: y["i"]).alias("starts"),
+            F.transform(F.filter(at, lambda y: y["ends"]), lambda y: y["i"] + 1).alias("ends"),
+        )
+
+    def found(x: Column) -> Column:
+        def picked(h: Column, size: Column) -> Column:
+            row = lambda starts, place, at: F.struct(F.lit(starts).alias("starts"), size.alias("size"), place.alias("place"), F.get(h, at).alias("h"))
+            firsts = F.transform(F.filter(x["starts"], lambda i: i < F.size(h)), lambda i: row(True, i, i))
+            return F.concat(firsts, F.transform(F.filter(x["ends"], lambda i: i >= size), lambda i: row(False, i, i - size)))
+
+        def grow(acc: Column, _: Column) -> Column:
+            more = F.struct(_doubled(acc["h"], acc["size"]).alias("h"), (acc["size"] * 2).alias("size"), acc["rows"].alias("rows"))
+            return let(more, lambda m: F.struct(m["h"].alias("h"), m["size"].alias("size"), F.concat(m["rows"], picked(m["h"], m["size"])).alias("rows")))
+
+        one = F.lit(1)
+        start = F.struct(x["h"].alias("h"), one.alias("size"), picked(x["h"], one).alias("rows"))
+        return F.aggregate(_steps(F.least(_doublings(F.size(x["h"])), F.lit(most.bit_length() - 1))), start, grow, lambda acc: acc["rows"])
+
+    return let(let(F.flatten(F.transform(F.split(own, "\n"), of_line)), places), found)
 
 
 def parsed(chats: DataFrame) -> DataFrame:
@@ -56,21 +116,29 @@ def parsed(chats: DataFrame) -> DataFrame:
 
 
 def passages(rows: DataFrame) -> DataFrame:
-    """(rid, conv_id, turn, level, nth, hash): the quoted passages of each message."""
+    """(rid, conv_id, turn, level, nth, words, size, first, last, hash): the quoted passages of each message."""
     lines = rows.where("quoted is not null and conv_id is not null and turn is not null").select("rid", "conv_id", "turn", F.posexplode("quoted").alias("i", "x")).select("rid", "conv_id", "turn", "i", "x.level", "x.body")
     order = Window.partitionBy("rid").orderBy("i")
     starts = lines.withColumn("new", F.when(F.coalesce(F.lag("level").over(order) != F.col("level"), F.lit(True)), 1).otherwise(0))
     runs = starts.withColumn("nth", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("level > 0")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "body"))), lambda y: y["body"]), "\n")
     whole = runs.groupBy("rid", "conv_id", "turn", "level", "nth").agg(body.alias("body"))
-    return whole.where(normalised(F.col("body")) != "").select("rid", "conv_id", "turn", "level", "nth", _hash(F.col("body")).alias("hash"))
+    return whole.select("rid", "conv_id", "turn", "level", "nth", let(_word_hashes(F.col("body")), _passage).alias("p")).where("p is not null").select("rid", "conv_id", "turn", "level", "nth", "p.*")
 
 
-def originals(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(conv_id, turn, hash) of what messages say themselves, of the hashes that are quoted."""
-    said = F.array_distinct(F.concat(F.array("own"), F.split("own", "\n" + SPACE + "*\n"), F.split("own", "\n")))
-    every = rows.where("own <> '' and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.transform(said, _hash)).alias("hash"))
-    return every.join(wanted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
+def originals(rows: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash) of the quoted passages that messages say themselves."""
+    wanted = quotes.select("conv_id", "words", "size", "first", "last", "hash").distinct()
+    most = quotes.agg(F.max("size")).first()[0] or 0
+    said = rows.where(F.lit(most > 0) & F.expr("own <> '' and conv_id is not null and turn is not null"))
+    every = said.select("rid", "conv_id", "turn", F.explode(_blocks(F.col("own"), most)).alias("b")).select("rid", "conv_id", "turn", "b.*")
+    asked = wanted.select("conv_id", "size", F.lit(True).alias("starts"), F.col("first").alias("h")).union(wanted.select("conv_id", "size", F.lit(False), "last")).distinct()
+    # an exploded table is larger than the planner takes it to be
+    blocks = write(every.hint("merge").join(asked.hint("merge"), ["conv_id", "size", "starts", "h"], "left_semi"), "blocks").df
+    firsts = blocks.where("starts").withColumnRenamed("h", "first").drop("starts")
+    meant = firsts.hint("merge").join(wanted.hint("merge"), ["conv_id", "size", "first"]).select("conv_id", "rid", "turn", "size", (F.col("place") + F.col("words")).alias("place"), F.col("last").alias("h"), "hash")
+    ends = blocks.where("not starts").select("rid", "size", "place", "h")
+    return meant.hint("merge").join(ends.hint("merge"), ["rid", "size", "place", "h"], "left_semi").select("conv_id", "turn", "hash").distinct()
 
 
 def latest_before(asked: DataFrame, given: DataFrame) -> DataFrame:
@@ -116,7 +184,7 @@ def link(chats: DataFrame) -> DataFrame:
     """
     rows = write(parsed(chats), "messages").df
     quotes = write(passages(rows), "passages").df
-    found = latest_before(quotes, originals(rows, quotes))
+    found = latest_before(quotes.select("rid", "conv_id", "turn", "level", "nth", "hash"), originals(rows, quotes))
     top = Window.partitionBy("rid")
     linked = found.withColumn("least", F.min(F.when(F.col("origin").isNotNull(), F.col("level"))).over(top))
     per = linked.groupBy("rid", "conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("origin").alias("n_linked"), F.max(F.when(F.col("level") == F.col("least"), F.col("origin"))).alias("reply_to"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -317,6 +318,57 @@ def test_chat_links_and_threads(spark):
     assert len(got) == 9 and chat.link(df.limit(0)).count() == 0
 
 
+def linked_by_brute_force(rows):
+    """{(conv, turn): (n_quotes, n_linked, reply_to)}: every run of own lines is compared with every passage."""
+    own, asked = defaultdict(list), {}
+    for c, t, text in rows:
+        marks = [re.match(r"((?:[ \t]*>)*) ?(.*)", x, re.S) if re.match(r"[ \t]*>", x) else None for x in text.split("\n")]
+        lines = [(m[1].count(">"), m[2]) if m else (0, x) for m, x in zip(marks, text.split("\n"))]
+        words = [x.lower().split() for level, x in lines if level == 0]
+        own[c].append((t, {tuple(sum(words[i:j], [])) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}))
+        runs = [(level, tuple(" ".join(x for _, x in g).lower().split())) for level, g in itertools.groupby(lines, key=lambda x: x[0])]
+        asked[c, t] = [(level, w) for level, w in runs if level and w]
+    out = {}
+    for (c, t), runs in asked.items():
+        origins = [(level, max((u for u, said in own[c] if u < t and w in said), default=None)) for level, w in runs]
+        known = [x for x in origins if x[1] is not None]
+        out[c, t] = len(origins), len(known), max((u for level, u in known if level == min(known)[0]), default=None)
+    return out
+
+
+def linked(spark, rows):
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    return {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], r["reply_to"]) for r in chat.link(df).collect()}
+
+
+def test_chat_links_runs_of_lines(spark):
+    rows = [(1, 0, "hello"), (1, 1, "A1\nA2\n> hello\nB1\nB2"), (1, 2, "> A1\n> A2\n>> hello\n> B1\n> B2"), (2, 0, "p1 a\np1 b\n\np2\n\np3 a\np3 b\np3 c"), (2, 1, "> p1 a\n> P1  b\n>\n> p2"), (2, 2, "> p3 b\n> p3 c"), (2, 3, "> p2\n> p3 a p3 b\nok"), (2, 4, "> p1 a\n> p2"), (2, 5, "> b\n> p2"), (3, 0, "A1\n> x\nB1"), (3, 1, "> A1\n> B1")]
+    got = linked(spark, rows)
+    assert got == linked_by_brute_force(rows)
+    assert got[1, 2] == (3, 3, 1) and got[2, 1] == (1, 1, 0) and got[2, 2] == (1, 1, 0) and got[2, 3] == (1, 1, 0) and got[3, 1] == (1, 1, 0)
+    assert got[2, 4] == got[2, 5] == (1, 0, None)
+
+
+def test_chat_equals_brute_force(spark):
+    r, rows = random.Random(5), []
+    for c in range(12):
+        said = []
+        for t in range(25):
+            lines = []
+            for _ in range(r.randint(1, 4)):
+                if said and r.random() < 0.6:
+                    old = r.choice(said)
+                    i = r.randrange(len(old))
+                    lines += ["> " * (not x.startswith(">")) + ">" * x.startswith(">") + (x.upper() if r.random() < 0.3 else x) for x in old[i : i + r.randint(1, 9)]]
+                else:
+                    lines += [" ".join(r.choice("abc") for _ in range(r.randint(0, 3))) for _ in range(r.randint(1, 6))]
+            said.append(lines)
+            rows.append((c, t, "\n".join(lines)))
+    want = linked_by_brute_force(rows)
+    assert sum(x[1] for x in want.values()) > 200 and sum(x[0] - x[1] for x in want.values()) > 20
+    assert linked(spark, rows) == want
+
+
 # -- all
 
 
