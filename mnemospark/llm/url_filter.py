@@ -10,11 +10,12 @@ its trust, and allowed otherwise.
 
 Edges are aggregated to hosts before anything is iterated, so the graph is
 small beside the pages. A host's out-links are shared out by weight; ranks are
-written after each round.
+written after every few rounds, which go on until the ranks are settled.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, UPPER_ASCII, write
 
+#: rounds of propagation in one plan
+STEPS = 4
+
 
 @dataclass(frozen=True)
 class UrlConfig:
@@ -29,7 +33,7 @@ class UrlConfig:
 
     rules: tuple[tuple[str, str, str], ...] = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
     damping: float = 0.85
-    rounds: int = 12
+    #: most that trust and distrust of all hosts may be off together, in even shares of a host
     tolerance: float = 1e-6
     #: distrust, over a host's even share of it, above which a host is blocked
     threshold: float = 0.4
@@ -67,26 +71,39 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.select("src", target.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, cfg: UrlConfig) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, known: int, cfg: UrlConfig) -> DataFrame:
     """(host, rank): personalised PageRank along ``edges`` from (host, share), shares adding up to 1.
 
-    Rank that reaches a host without out-links is lost, which only scales the
-    result; a host that no seed reaches has no row.
+    A round moves at most ``damping`` of what the last one moved, which bounds
+    what is left: rounds end when that is below the tolerance over ``known``
+    hosts, or after the number that is enough for any graph. Rank that reaches
+    a host without out-links is lost, which only scales the result; a host
+    that no seed reaches has no row.
     """
     total = edges.groupBy(F.col("src").alias("t_src")).agg(F.sum("weight").alias("total"))
     shares = write(edges.join(total, F.col("src") == F.col("t_src")).select("src", "dst", (F.col("weight") / F.col("total")).alias("w")), "edges")
     start = write(seeds.select("host", ((1 - cfg.damping) * F.col("share")).alias("base")), "seeds")
     rank = write(start.df.select("host", F.col("base").alias("rank")), "rank")
-    for _ in range(cfg.rounds):
-        flow = rank.df.join(shares.df, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((cfg.damping * F.sum(F.col("rank") * F.col("w"))).alias("rank"))
-        new = write(start.df.select("host", F.col("base").alias("rank")).unionByName(flow).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
-        old = rank.df.select(F.col("host").alias("o_host"), F.col("rank").alias("o_rank"))
-        moved = new.df.join(old, F.col("host") == F.col("o_host"), "left").agg(F.sum(F.abs(F.col("rank") - F.coalesce("o_rank", F.lit(0.0))))).first()[0]
+    if not 0 < cfg.damping < 1:
+        raise ValueError("damping must be between 0 and 1")
+    least = cfg.tolerance / max(known, 1)
+    kept = cfg.damping**STEPS
+    base = start.df.select("host", F.col("base").alias("rank"))
+    for _ in range(max(1, math.ceil(math.log(least) / math.log(kept)))):
+        new, was = rank.df, rank.df.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+        for step in range(STEPS):
+            flow = new.join(shares.df, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (cfg.damping * F.col("rank") * F.col("w")).alias("rank"))
+            new = base.unionByName(flow)
+            if step < STEPS - 1:
+                new = new.groupBy("host").agg(F.sum("rank").alias("rank"))
+        both = new.withColumn("was", F.lit(0.0)).unionByName(was)
+        settled = write(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), "rank")
+        moved = settled.df.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
         rank.drop()
-        rank = new
-        if not moved or moved < cfg.tolerance:
+        rank = settled
+        if not moved or moved * kept / (1 - kept) < least:
             break
-    return rank.df
+    return rank.df.select("host", "rank")
 
 
 def judge(pages: DataFrame, cfg: UrlConfig = UrlConfig()) -> DataFrame:
@@ -111,8 +128,8 @@ def judge(pages: DataFrame, cfg: UrlConfig = UrlConfig()) -> DataFrame:
         return part.select("host", (F.col("s") / whole).alias("share"))
 
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = propagate(edges, seeds("allow"), cfg).select(F.col("host").alias("a_host"), F.col("rank").alias("trust"))
-    distrust = propagate(back, seeds("block"), cfg).select(F.col("host").alias("b_host"), F.col("rank").alias("distrust"))
+    trust = propagate(edges, seeds("allow"), known, cfg).select(F.col("host").alias("a_host"), F.col("rank").alias("trust"))
+    distrust = propagate(back, seeds("block"), known, cfg).select(F.col("host").alias("b_host"), F.col("rank").alias("distrust"))
     scored = hosts.select("host").join(trust, F.col("host") == F.col("a_host"), "left").join(distrust, F.col("host") == F.col("b_host"), "left")
     scored = write(scored.select(F.col("host").alias("h_host"), (F.coalesce("trust", F.lit(0.0)) * known).alias("trust"), (F.coalesce("distrust", F.lit(0.0)) * known).alias("distrust")), "scores").df
     out = judged.join(scored, F.col("host") == F.col("h_host"), "left")

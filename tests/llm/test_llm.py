@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -304,6 +305,40 @@ def test_distrust_flows_against_links(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def ranks_by_dense_solve(links, seeds, damping=0.85):
+    """{host: rank} of personalised PageRank, by the linear system."""
+    hosts = sorted({h for link in links for h in link[:2]} | set(seeds))
+    at = {h: k for k, h in enumerate(hosts)}
+    flow = np.zeros((len(hosts), len(hosts)))
+    for a, b, weight in links:
+        flow[at[b], at[a]] += weight / sum(x[2] for x in links if x[0] == a)
+    base = np.array([(1 - damping) * seeds.get(h, 0.0) for h in hosts])
+    return dict(zip(hosts, np.linalg.solve(np.eye(len(hosts)) - damping * flow, base)))
+
+
+def test_propagation_equals_dense_solve(spark):
+    r = random.Random(3)
+    cycle = [(f"c{k}", f"c{(k + 1) % 5}", 1.0) for k in range(5)]
+    tangle = [(f"t{a}", f"t{b}", float(r.randint(1, 4))) for a in range(12) for b in r.sample(range(12), 3) if a != b]
+    links = cycle + [("c0", "t1", 1.0)] + tangle
+    seeds = {"c0": 0.75, "t3": 0.25}
+    known = 17
+    got = url_filter.propagate(spark.createDataFrame(links, "src string, dst string, weight double"), spark.createDataFrame(list(seeds.items()), "host string, share double"), known, url_filter.UrlConfig())
+    got = {x["host"]: x["rank"] for x in got.collect()}
+    want = {h: x for h, x in ranks_by_dense_solve(links, seeds).items() if x}
+    assert got.keys() == want.keys() and sum(abs(got[h] - want[h]) for h in want) * known < 1e-6
+
+
+def test_distrust_reaches_hosts_far_from_a_seed(spark):
+    n = 17
+    page = lambda k: (k, f"http://h{k}.test/", f'<a href="http://h{k - 1}.test/">' if k > 1 else '<a href="http://spam.net/">')
+    rows = [(0, "http://spam.net/", None)] + [page(k) for k in range(1, n)] + [(k, f"http://alone{k}.test/", None) for k in range(n, 60)]
+    got = {r["page_id"]: (r["verdict"], r["distrust"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: 0.15 * 0.85**k * 60 if k < n else 0.0 for k in range(60)}
+    assert all(abs(got[k][1] - want[k]) < 1e-6 for k in want)
+    assert {k for k in got if got[k][0] == "block"} == {k for k in want if want[k] > 0.4} and want[16] > 0.4
+
+
 # -- 8
 
 
