@@ -20,7 +20,7 @@ Everything is a DataFrame function; there is no Python in the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, UPPER_ASCII, Written, let, words_of, write
@@ -140,6 +140,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id. Repeated rows count as separate documents. An empty table
     gives an empty result; other columns of ``docs`` are not looked at.
     """
+    found = _grouped(docs, id_col, text_col, most)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """(doc_id, fp, label, n_near, component_id) of each row; the label, a fingerprint, tells components apart."""
     rows = write(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = write(rows.df.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "classes")
     edges = write(linked_pairs(classes.df.select("fp"), most), "edges")
@@ -149,29 +155,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = classes.df.join(labels.df, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = whole.groupBy("label").agg(F.min("least").alias("component_id"))
     facts = write(
-        whole.join(least, "label").join(others, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id"), "classes"
+        whole.join(least, "label").join(others, "fp", "left").select("fp", "label", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id"), "classes"
     )
     for done in (classes, edges, labels):
         done.drop()
-    return rows.df.join(facts.df, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+    return rows.df.join(facts.df, "fp").select("doc_id", "fp", "label", "n_near", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 6) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near-duplicates.
 
-    The document with the group's smallest id stays. Where that id stands in
-    several rows, one row of it stays. Rows of a null id come after all
-    others and are told apart by a hash of their text. Columns are those of
-    ``docs``.
+    A row with the group's smallest id stays, and it alone: where that id
+    stands in several rows, the one of the group with the least fingerprint,
+    then the least hash of its text, then any. Rows of a null id come after
+    all others and are told apart by a hash of their text. Columns are those
+    of ``docs``.
     """
     unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit(1 << 61))
     keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), unnamed))
-    found = near_duplicates(keyed, "__key", text_col, most)
-    mine = found.where(F.col("doc_id") == F.col("component_id"))
-    stays = write(mine.groupBy(F.col("doc_id").alias("__id")).agg((F.count(F.lit(1)) > 1).alias("__many")), "stays").df
+    found = _grouped(keyed, "__key", text_col, most)
+    leads = F.col("doc_id") == F.col("component_id")
+    stays = write(found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(leads).alias("__leads"), (F.count(F.lit(1)) > 1).alias("__many")).where("__leads"), "stays").df
     # one key of a long: a broadcast of it, where it is small, is a compact table of longs
     chosen = lambda rows: keyed.join(rows.select("__id"), F.col("__key") == F.col("__id"), "left_semi")
     single = chosen(stays.where("not __many"))
     if stays.where("__many").limit(1).count():
-        single = single.unionByName(chosen(stays.where("__many")).dropDuplicates(["__key"]))
+        # an id that stands in several rows may lead several groups, or lead one and be another's copy
+        several = chosen(stays.where("__many")).withColumn("__hash", F.xxhash64(text_col))
+        prints = fingerprints(several, "__hash", text_col).select(F.col("doc_id").alias("__text"), F.col("fp").alias("__fp")).distinct()
+        first = found.where(leads).groupBy("label", F.col("doc_id").alias("__first")).agg(F.min("fp").alias("__least"))
+        mine = several.join(prints, F.col("__hash") == F.col("__text")).join(first, (F.col("__key") == F.col("__first")) & (F.col("__fp") == F.col("__least")), "left_semi")
+        order = Window.partitionBy("__key", "__fp").orderBy("__hash")
+        single = single.unionByName(mine.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*keyed.columns))
     return single.drop("__key")

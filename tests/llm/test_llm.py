@@ -103,6 +103,14 @@ def stats(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
 
 
+def test_one_row_of_each_component_stays_where_ids_repeat(spark):
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta", "gamma", "delta"))
+    # 7 leads two components; 8 leads one and is a copy of 2 in another; 9 stands twice with one text
+    rows = [(7, one), (7, two), (20, two), (8, three), (2, four), (8, four), (9, "x y z"), (9, "x y z"), (11, one)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(7, one), (7, two), (8, three), (2, four), (9, "x y z")])
+
+
 def test_quality_statistics(spark):
     df = docs(spark)
     got = quality_rules.judge(df, spark.createDataFrame([], LABEL)).collect()
