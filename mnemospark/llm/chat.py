@@ -6,8 +6,8 @@ them allowed. Runs of lines of one level are passages, compared by their words
 lines, whether or not quotes stood between them. A passage comes from the
 latest earlier turn of its conversation that has such a run of equal words; a
 message replies to the latest origin of its least nested passages. Replies
-give threads (the first message reached), depths, and an order in which every
-message follows the one it replies to.
+give threads (the first message reached), depths, and positions: in a conversation's thread
+by its positions every message follows the one it replies to.
 
 Runs aren't listed. Blocks of 1, 2, 4, ... words have hashes made of those of
 their halves. A passage is two blocks of the largest size that fits, one from
@@ -170,17 +170,29 @@ def threads(replies: DataFrame) -> Written:
             return now
 
 
+def positions(placed: DataFrame) -> DataFrame:
+    """(p_conv, p_thread, p_turn, position): numbers of the turns of each thread, counted in blocks of turns."""
+    turns = placed.select("conv_id", "thread", "turn").where("conv_id is not null and turn is not null").distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
+    blocks = turns.groupBy("conv_id", "thread", "block").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("conv_id", "thread").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    skips = blocks.select("conv_id", "thread", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
+    within = Window.partitionBy("conv_id", "thread", "block").orderBy("turn")
+    numbered = turns.withColumn("nth", F.row_number().over(within)).join(skips, ["conv_id", "thread", "block"])
+    return numbered.select(F.col("conv_id").alias("p_conv"), F.col("thread").alias("p_thread"), F.col("turn").alias("p_turn"), (F.col("nth") + F.col("skip")).alias("position"))
+
+
 def link(chats: DataFrame) -> DataFrame:
     """One row per row of ``chats`` (conv_id, turn, role, text).
 
     Columns: conv_id, turn, role, text (without quotes), n_quotes, n_linked
     (passages whose origin was found), reply_to (a turn, null for none),
-    thread (the turn it starts with), depth and formatted (role, text). Order by
-    conv_id, thread and turn for the conversations. A null text is empty; a
+    thread (the turn it starts with), depth, position (from 1 in the thread) and
+    formatted (role, text). Order by conv_id, thread and position for the
+    conversations without quotes. A null text is empty; a
     null role is "unknown" in formatted. Messages with a null conversation or
     turn aren't linked. Rows of one conversation and turn are one message for
-    those that quote them; if they quote, the latest origin holds for all. An
-    empty table gives no rows.
+    those that quote them; if they quote, the latest origin holds for all, and
+    they share a position. An empty table gives no rows.
     """
     rows = write(parsed(chats), "messages").df
     quotes = write(passages(rows), "passages").df
@@ -196,4 +208,6 @@ def link(chats: DataFrame) -> DataFrame:
     out = rows.join(counts, F.col("rid") == F.col("c_rid"), "left").join(ends, (F.col("conv_id") == F.col("e_conv")) & (F.col("turn") == F.col("e_turn")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("own"), F.lit("\n<|end|>"))
-    return out.select("conv_id", "turn", "role", F.col("own").alias("text"), zero("n_quotes"), zero("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), zero("depth"), formatted.alias("formatted"))
+    placed = out.withColumn("thread", F.coalesce("thread", "turn"))
+    placed = placed.join(positions(placed), (F.col("conv_id") == F.col("p_conv")) & (F.col("thread") == F.col("p_thread")) & (F.col("turn") == F.col("p_turn")), "left")
+    return placed.select("conv_id", "turn", "role", F.col("own").alias("text"), zero("n_quotes"), zero("n_linked"), "reply_to", "thread", zero("depth"), "position", formatted.alias("formatted"))

@@ -13,7 +13,8 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,19 +63,12 @@ def new_path(spark: SparkSession, label: str) -> str:
 def _clean(spark: SparkSession) -> None:
     for path in _paths:
         if path.startswith(("file:", "/")):
-            shutil.rmtree(local_path(path), ignore_errors=True)
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
         elif spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
             drop_path(spark, path)
     _paths.clear()
 
 
-def local_path(path: str) -> str:
-    """The path for Python's own file functions; shared folders are mounted."""
-    if "://" in path and not path.startswith("file://"):
-        raise ValueError(f"archives need a shared folder that is mounted, not {path}")
-    return path[len("file://") :] if path.startswith("file://") else path[len("file:") :] if path.startswith("file:") else path
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written table that no later plan reads."""
     jvm = spark._jvm
@@ -100,6 +94,54 @@ def write(df: DataFrame, label: str) -> Written:
     return Written(spark, path, spark.read.schema(df.schema).parquet(path))
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[Written], Written]]:
+    """Deletes the tables that are written inside at the end, but for those given to the function it yields."""
+    before, kept = set(_paths), set()
+
+    def keep(table: Written) -> Written:
+        kept.add(table.path)
+        return table
+
+    yield keep
+    for path in [p for p in _paths if p not in before and p not in kept]:
+        drop_path(spark, path)
+        _paths.remove(path)
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df``, a written table of short rows, to be broadcast if it has ``most`` rows or fewer, else to be merged."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """k1 and k2: 128 bits that tell rows apart by the values of all columns; rows that agree in them are equal."""
+
+    def plain(name: str, kind: str) -> list[Column]:
+        c = df[f"`{name}`"]
+        nested = any(x in kind for x in ("array<", "map<", "struct<"))
+        return [F.to_json(F.struct(c)) if nested else c, c.isNull()]
+
+    parts = [x for name, kind in df.dtypes if kind != "void" for x in plain(name, kind)]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"k{seed}") for seed in (1, 2)]
+
+
+def one_of_each(df: DataFrame) -> DataFrame:
+    """(row, k1, k2): each different row of ``df`` once, as a struct.
+
+    Equal rows are dropped before the rows are shuffled, so that many of them
+    are no single task's work.
+    """
+    return df.select(F.struct("*").alias("row"), *row_key(df)).dropDuplicates(["k1", "k2"])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row.
 

@@ -26,7 +26,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, words_of, write
+from .common import Written, one_of_each, row_key, words_of, write
+
+
+#: Newton steps, or repairs, in one plan
+AT_ONCE = 3
 
 
 @dataclass(frozen=True)
@@ -35,9 +39,9 @@ class MixConfig:
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     most: int = 3
-    newton_steps: int = 60
+    #: more than bisection alone needs; beyond them is an error
+    newton_steps: int = 200
     tolerance: float = 1e-9
-    repairs: int = 6
     #: documents per rounding bucket, about
     bucket_rows: int = 50_000
 
@@ -84,32 +88,37 @@ def _solve(hist: DataFrame, goals: DataFrame, cfg: MixConfig) -> Written:
         F.when(ratio >= cfg.most * (1 - 1e-12), True).otherwise(False).alias("done"),
         F.when(ratio >= cfg.most * (1 - 1e-12), True).otherwise(False).alias("full"),
     )
-    state = write(start, "dual")
-    for _ in range(cfg.newton_steps):
-        joined = hist.join(state.df, F.col("h_source").eqNullSafe(F.col("source"))).where("not done")
+    def newton(state: DataFrame) -> DataFrame:
+        joined = hist.join(state, F.col("h_source").eqNullSafe(F.col("source"))).where("not done")
         c = F.col("size") / F.col("mean")
         u = F.col("lam") * c
         rate = F.exp(F.least(u, F.lit(cap)))
         sums = joined.groupBy("h_source").agg(F.sum(F.col("count") * rate * c).alias("g"), F.sum(F.when(u < cap, F.col("count") * rate * c * c).otherwise(0.0)).alias("h"))
-        s = state.df.join(sums, F.col("h_source").eqNullSafe(F.col("source")), "left")
+        s = state.join(sums, F.col("h_source").eqNullSafe(F.col("source")), "left")
         off = F.col("g") - F.col("goal")
         lo, hi = F.when(off <= 0, F.col("lam")).otherwise(F.col("lo")), F.when(off >= 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - off / F.when(F.col("h") > 0, F.col("h"))
-        inside = (newton > lo) & (newton < hi)
+        step = F.col("lam") - off / F.when(F.col("h") > 0, F.col("h"))
+        inside = (step > lo) & (step < hi)
         near = F.abs(off) <= cfg.tolerance * F.col("goal")
         tight = (F.col("hi") - F.col("lo")) <= 1e-14 * (1 + F.abs(F.col("lam")))
         stop = F.col("done") | near | tight
-        step = s.select(
+        return s.select(
             "source", "mean", "goal",
-            F.when(stop, F.col("lam")).when(inside, newton).otherwise((lo + hi) / 2).alias("lam"),
+            F.when(stop, F.col("lam")).when(inside, step).otherwise((lo + hi) / 2).alias("lam"),
             F.when(F.col("done"), F.col("lo")).otherwise(lo).alias("lo"), F.when(F.col("done"), F.col("hi")).otherwise(hi).alias("hi"), F.coalesce(stop, F.lit(True)).alias("done"), "full",
         )
+
+    state = write(start, "dual")
+    for _ in range(0, cfg.newton_steps, AT_ONCE):
+        step = state.df
+        for _ in range(AT_ONCE):
+            step = newton(step)
         new = write(step, "dual")
         state.drop()
         state = new
         if state.df.where("not done").limit(1).count() == 0:
-            break
-    return state
+            return state
+    raise ValueError(f"rates of some sources aren't found after {cfg.newton_steps} steps")
 
 
 def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id") -> DataFrame:
@@ -164,40 +173,51 @@ def _repairs(chosen: DataFrame, cfg: MixConfig) -> DataFrame:
 
     A source's candidates are one document for each (size, copies), the one
     with the least number; there are no more of them than sizes times copies.
+    Each is used once, and rounds end when none brings a source nearer.
     """
     cells = write(chosen.where("size > 0").groupBy("source", "size", "copies").agg(F.min("nth").alias("nth"), F.max("nth").alias("last")), "cells").df
     sums = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"))
     state = sums.select(F.col("source").alias("s_source"), (F.col("target") - F.col("taken")).alias("gap"), F.array().cast("array<struct<f_size:bigint,f_nth:bigint,change:bigint>>").alias("fixes"))
     state = write(state, "gaps")
-    for _ in range(cfg.repairs):
+    def repair(state: DataFrame) -> DataFrame:
         used = F.exists("fixes", lambda f: (f["f_size"] == F.col("size")) & (f["f_nth"] == F.col("nth")))
         change = F.when(F.col("gap") > 0, F.lit(1)).otherwise(F.lit(-1)).cast("long")
         fits = F.when(F.col("gap") > 0, F.col("copies") < cfg.most).otherwise(F.col("copies") > 0)
         after = F.abs(F.col("gap") - change * F.col("size"))
         best = (
-            cells.join(state.df, F.col("source").eqNullSafe(F.col("s_source")))
+            cells.join(state, F.col("source").eqNullSafe(F.col("s_source")))
             .where(fits & ~used & (after < F.abs(F.col("gap"))))
             .groupBy("source")
             .agg(F.min(F.struct(after.alias("after"), F.col("size").alias("f_size"), F.col("nth").alias("f_nth"), change.alias("change"))).alias("b"))
         )
-        step = state.df.join(best, F.col("source").eqNullSafe(F.col("s_source")), "left").select(
+        return state.join(best, F.col("source").eqNullSafe(F.col("s_source")), "left").select(
             "s_source",
             F.when(F.col("b").isNull(), F.col("gap")).otherwise(F.col("gap") - F.col("b.change") * F.col("b.f_size")).alias("gap"),
             F.when(F.col("b").isNull(), F.col("fixes")).otherwise(F.concat("fixes", F.array(F.struct("b.f_size", "b.f_nth", "b.change")))).alias("fixes"),
+            F.col("b").isNotNull().alias("nearer"),
         )
+
+    while True:
+        step = state.df
+        for _ in range(AT_ONCE):
+            step = repair(step.drop("nearer"))
         new = write(step, "gaps")
         state.drop()
         state = new
+        if not new.df.where("nearer").limit(1).count():
+            break
     return state.df.select(F.col("s_source").alias("source"), F.explode("fixes").alias("f")).select("source", "f.*")
 
 
-def repeat(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id") -> DataFrame:
+def repeat(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` copies it.
 
-    An id that stands in several rows gives each row the most copies that a
-    row of that id has.
+    Rows that share an id are told apart by their other columns; rows equal in
+    all of them are made once, as often as all of them together. Columns are
+    those of ``docs``, whatever they are called.
     """
-    plan = mix(docs, cfg, id_col).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    rows = docs.select(F.struct(*row_key(docs)).alias("doc_id"), F.col("source"), F.col("text"))
+    plan = mix(rows, cfg).groupBy("doc_id.k1", "doc_id.k2").agg(F.sum("copies").alias("copies")).where("copies > 0")
     plan = write(plan, "mix").df
-    often = docs.join(plan, docs[id_col].eqNullSafe(F.col("__id"))).where("__copies > 0")
-    return often.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
+    often = one_of_each(docs).hint("merge").join(plan.hint("merge"), ["k1", "k2"])
+    return often.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from .quality_rules import RULES, RiskConfig
 
-TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
- WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+TOPK = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(CASE WHEN len(q.v) = 0 THEN 0 ELSE list_dot_product(q.v, c.v) END AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY r ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
 WARC = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT *, n >= 100 AND page_id <> min(page_id) OVER (PARTITION BY d) AS again, min(page_id) OVER (PARTITION BY d) AS first FROM p)
@@ -23,11 +23,11 @@ _SPACE = "[\\x20\\x09-\\x0D]"
 def _quality(cfg: RiskConfig = RiskConfig()) -> str:
     rules = list(RULES)
     metrics = {
-        "symbols": "CASE WHEN n_words > 0 THEN least(n_symbols * 1000 // n_words, 5000) ELSE 0 END",
-        "dup_lines": "CASE WHEN n_lines > 0 THEN least(n_dup_lines * 1000 // n_lines, 1000) ELSE 0 END",
-        "repeats": "CASE WHEN n_words > 0 THEN least(n_repeat_words * 1000 // n_words, 1000) ELSE 0 END",
-        "long_words": "CASE WHEN n_words > 0 THEN least(word_chars * 100 // n_words, 5000) ELSE 0 END",
-        "short_words": "5000 - CASE WHEN n_words > 0 THEN least(word_chars * 100 // n_words, 5000) ELSE 0 END",
+        "symbols": "CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END",
+        "dup_lines": "CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END",
+        "repeats": "CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END",
+        "long_words": "CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END",
+        "short_words": "CASE WHEN n_words > 0 THEN -(word_chars * 100 // n_words) ELSE 0 END",
     }
     p, d = cfg.alpha / len(rules), cfg.delta / len(rules)
     out = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS x FROM documents),

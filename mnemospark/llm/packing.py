@@ -8,11 +8,12 @@ dynamic programme over bitsets finds the multiset of other remaining lengths
 that comes closest to its capacity, and backtracking gives their counts. The
 pattern is used as often as the counts allow before the next one is sought.
 
-A sequence needs no padding if it is full or its length is a power of two.
-Documents of windows that are neither are cut into pieces whose lengths are
-powers of two. Laid end to end by falling length such pieces never cross a
-window's end, nor a power of two's place in the last window, so these
-sequences need no padding either.
+A sequence needs no padding if it is full or its length is a power of two, and
+a window that lacks ``slack`` ids or fewer is padded. What is left are the last
+windows, for which no small lengths remain: their documents are cut into pieces
+whose lengths are powers of two. Laid end to end by falling length such pieces
+never cross a window's end, nor a power of two's place in the last window, so
+these sequences need no padding.
 
 Documents find their place by their number within their length, which comes
 from counts per task and length; no length's documents are in one task. Token
@@ -39,9 +40,10 @@ from .common import write
 
 @dataclass(frozen=True)
 class PackConfig:
-    """tokenizer and ranks: files of public_tokenizers, the same vocabulary for two libraries."""
+    """tokenizer and ranks: files of public_tokenizers, the same vocabulary for two libraries; slack: ids that a window may lack."""
 
     window: int = 1024
+    slack: int = 16
     tokenizer: str = "byte_bpe_50k.json"
     ranks: str | None = "byte_bpe_50k.tiktoken"
     end_id: int = 0
@@ -55,7 +57,8 @@ class Encoder:
     characters, so a text is cut there and parts are kept in a bounded cache.
     A text with other white space next to a space is encoded as a whole. Parts
     of letters below U+0250 are encoded by tiktoken with the same vocabulary,
-    which is faster; both libraries agree there.
+    which is faster; both libraries agree there. A text that holds one of the
+    tokenizer's added tokens, which have ids of their own, is left to it whole.
     """
 
     def __init__(self, cfg: PackConfig) -> None:
@@ -63,7 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(files.path(cfg.tokenizer))
-        self.slow.encode_special_tokens = True
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if cfg.ranks:
             import base64
@@ -76,13 +79,16 @@ class Encoder:
         self.parts: dict[str, bytes | None] = {}
         self.most = cfg.cache_words
 
+    def by_tokenizer(self, text: str) -> bytes:
+        ids = self.slow.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def whole(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.fast is not None and max(text) < "ɐ":
-            ids = self.fast.encode_ordinary(text)
-        else:
-            ids = self.slow.encode(text, add_special_tokens=False).ids
+        if self.fast is None or max(text) >= "ɐ":
+            return self.by_tokenizer(text)
+        ids = self.fast.encode_ordinary(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def part(self, c: str) -> bytes | None:
@@ -95,6 +101,8 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self.by_tokenizer(text)
         first, *rest = text.split(" ")
         if not rest or first and first[-1].isspace():
             return self.whole(text)
@@ -200,7 +208,7 @@ def patterns(counts: dict[int, int], window: int) -> list[tuple[dict[int, int],
     return out
 
 
-def places(counts: dict[int, int], window: int) -> tuple[list[tuple[int, int, int, int, int, int, bool]], dict[tuple[int, int], int], int, int]:
+def places(counts: dict[int, int], window: int, slack: int = 0) -> tuple[list[tuple[int, int, int, int, int, int, bool]], dict[tuple[int, int], int], int, int]:
     """Where documents of each length and number go.
 
     Rows (length, least number, number beyond, per window, first window,
@@ -212,7 +220,7 @@ def places(counts: dict[int, int], window: int) -> tuple[list[tuple[int, int, in
     cut, cuts = [], Counter()
     for used, times in patterns(counts, window):
         total = sum(k * m for k, m in used.items())
-        whole = total == window or total & (total - 1) == 0
+        whole = total >= window - slack or total & (total - 1) == 0
         at = 0
         for k in sorted(used, reverse=True):
             m = used[k]
@@ -258,7 +266,7 @@ def pack(docs: DataFrame, cfg: PackConfig = PackConfig(), id_col: str = "doc_id"
     per_task = write(per_task, "counts").df
     # at most window - 1 rows
     counts = {int(k): int(n) for k, n in per_task.groupBy("length").agg(F.sum("rows")).collect()}
-    plan, position, n_whole, n_cut = places(counts, cfg.window)
+    plan, position, n_whole, n_cut = places(counts, cfg.window, cfg.slack)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     skips = per_task.select(F.col("length").alias("s_length"), F.col("part").alias("s_part"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("skip"))
     numbered = rest.join(skips, (F.col("rest.length") == F.col("s_length")) & (F.col("part") == F.col("s_part"))).withColumn("g", F.col("nth") + F.col("skip"))

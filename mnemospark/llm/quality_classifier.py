@@ -1,9 +1,8 @@
 """Quality classifier: averaged subword embeddings with a softmax output.
 
-A text's words (white space, case kept) and the character n-grams of each
-word, with its ends marked, are hashed to rows of an embedding table; the end
-of the text and each word that equals the one before it have rows of their
-own. The document's vector is the average of all of them, repeats included; a
+A text's words (white space, case kept), each two that follow one another, and
+the character n-grams of each word, with its ends marked, are hashed to rows of
+an embedding table; the end of the text has a row of its own. The document's vector is the average of all of them, repeats included; a
 softmax over two labels follows. Table and output are trained by numpy stochastic
 gradient descent on a bounded sample of labelled rows.
 
@@ -18,14 +17,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod
-from .textmodel import hashed_ngrams, sigmoid, slices, training_rows, with_scores
+from .textmodel import bigram_buckets, hashed_ngrams, sigmoid, slices, training_rows, with_scores, word_hashes
 
 
 @dataclass(frozen=True)
@@ -37,28 +35,31 @@ class QualityConfig:
     width: int = 16
     least_n: int = 3
     most_n: int = 5
-    epochs: int = 8
+    epochs: int = 3
     rate: float = 0.5
     #: the table's rate over the output's: its gradient is spread over all of a text's features
     table_rate: float = 50.0
     threshold: float = 0.7
     seed: int = 7
-    #: how often the feature of a text's end counts (short texts lean on it), and that of a word equal to the one before it
-    end_counts: int = 40
-    again_counts: int = 8
+    #: rows of the rarer label are weighted up to this share of all
+    rare_share: float = 1 / 3
+    #: how often the feature of a text's end counts; short texts lean on it
+    end_counts: int = 10
     cache_words: int = 200_000
 
 
 def document(words: list[str], cfg: QualityConfig) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a text's words."""
     counted = Counter(words)
-    owner, ids = hashed_ngrams(list(counted), cfg.least_n, cfg.most_n, cfg.bits, whole=True)
+    names = list(counted)
+    owner, ids = hashed_ngrams(names, cfg.least_n, cfg.most_n, cfg.bits, whole=True)
     if not len(ids):
         return np.zeros(0, np.int64), np.zeros(0)
-    found, place = np.unique(ids, return_inverse=True)
-    counts = np.bincount(place, np.fromiter(counted.values(), float)[owner])
-    end, again = 1 << cfg.bits, sum(a == b for a, b in pairwise(words))
-    return np.append(found, [end, end + 1]), np.append(counts, [cfg.end_counts, again * cfg.again_counts])
+    index = dict(zip(names, range(len(names)), strict=True))
+    pairs = bigram_buckets(word_hashes(names)[[index[w] for w in words]], cfg.bits)
+    times = np.concatenate([np.fromiter(counted.values(), float)[owner], np.ones(len(pairs))])
+    found, place = np.unique(np.concatenate([ids, pairs]), return_inverse=True)
+    return np.append(found, 1 << cfg.bits), np.append(np.bincount(place, times), cfg.end_counts)
 
 
 @dataclass
@@ -72,26 +73,27 @@ class QualityModel:
     def scorer(self) -> Callable[[list[str]], list[float]]:
         weight, bias, cfg = self.weight, self.bias, self.cfg
         index: dict[str, int] = {}
-        sums, counts = np.zeros(0), np.zeros(0)
+        sums, counts, hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
         def score(texts: list[str]) -> list[float]:
-            nonlocal sums, counts
+            nonlocal sums, counts, hashes
             out = []
             for part in slices(texts):
                 split = [t.split() for t in part]
                 if len(index) > cfg.cache_words:
                     index.clear()
-                    sums, counts = np.zeros(0), np.zeros(0)
+                    sums, counts, hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
                 new = [w for w in set().union(*split) if w not in index]
                 owner, ids = hashed_ngrams(new, cfg.least_n, cfg.most_n, cfg.bits, whole=True)
                 sums = np.concatenate([sums, np.bincount(owner, weight[ids], len(new))])
                 counts = np.concatenate([counts, np.bincount(owner, minlength=len(new))])
+                hashes = np.concatenate([hashes, word_hashes(new)])
                 index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
                 for words in split:
                     at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                    again = int((at[1:] == at[:-1]).sum()) * cfg.again_counts
-                    n = counts[at].sum() + cfg.end_counts + again
-                    total = sums[at].sum() + cfg.end_counts * weight[-2] + again * weight[-1]
+                    pairs = bigram_buckets(hashes[at], cfg.bits)
+                    n = counts[at].sum() + len(pairs) + cfg.end_counts
+                    total = sums[at].sum() + weight[pairs].sum(dtype=float) + cfg.end_counts * float(weight[-1])
                     out.append(sigmoid(bias + (float(total / n) if words else 0.0)))
             return out
 
@@ -101,19 +103,19 @@ class QualityModel:
 def train(rows: list[tuple[str, int]], cfg: QualityConfig = QualityConfig()) -> QualityModel:
     """Stochastic gradient descent over the rows in a seeded order, the rate falling to zero.
 
-    Rows of the rarer label are weighted up to a third of all. Without rows of
+    Rows of the rarer label are weighted up to ``rare_share`` of all. Without rows of
     both labels there is nothing to tell apart: every text's score is then the
     share of label 1 among the rows, 0 without any.
     """
     ones = sum(y for _, y in rows)
     if ones in (0, len(rows)):
-        return QualityModel(np.zeros((1 << cfg.bits) + 2, np.float32), 700.0 if ones else -700.0, cfg)
+        return QualityModel(np.zeros((1 << cfg.bits) + 1, np.float32), 700.0 if ones else -700.0, cfg)
     rng = np.random.default_rng(cfg.seed)
-    table = ((rng.random(((1 << cfg.bits) + 2, cfg.width), dtype=np.float32)) - 0.5) / cfg.width
+    table = ((rng.random(((1 << cfg.bits) + 1, cfg.width), dtype=np.float32)) - 0.5) / cfg.width
     out = np.zeros((2, cfg.width), np.float32)
     bias = np.zeros(2, np.float32)
     share = min(ones, len(rows) - ones) / len(rows)
-    rare = max(1.0, (1 / 3) / share * (1 - share) / (2 / 3))
+    rare = max(1.0, cfg.rare_share / share * (1 - share) / (1 - cfg.rare_share))
     minor = int(ones * 2 < len(rows))
     docs = [(*document(t.split(), cfg), y) for t, y in rows]
     docs = [(ids.astype(np.int32), (counts / max(counts.sum(), 1)).astype(np.float32), y) for ids, counts, y in docs]
@@ -131,10 +133,12 @@ def train(rows: list[tuple[str, int]], cfg: QualityConfig = QualityConfig()) ->
             error = -p
             error[y] += 1
             back = error @ out
-            out += rate * np.outer(error, mean)
+            # steps are no longer than what would move the output by about ``rate``, so that they can't overshoot
+            reach = float(share_of @ share_of) * max(1.0, float((out * out).sum()))
+            out += rate / max(1.0, float(mean @ mean)) * np.outer(error, mean)
             bias += rate * error
             if len(ids):
-                table[ids] += (rate * cfg.table_rate * share_of)[:, None] * back
+                table[ids] += (rate * min(cfg.table_rate, 1 / reach) * share_of)[:, None] * back
     return QualityModel((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]), cfg)
 
 

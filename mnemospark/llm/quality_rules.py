@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, let, words_of, write
+from .common import NOT_SPACE, let, small, words_of, write
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -80,17 +80,17 @@ def base_failed(s: Column, cfg: RiskConfig = RiskConfig()) -> Column:
     return (s["n_words"] < cfg.least_words) | (100 * s["n_repeat_words"] > cfg.repeat_percent * s["n_words"])
 
 
-def _per(top: Column, by: Column, scale: int, most: int) -> Column:
-    return F.when(by > 0, F.least(F.floor(top * scale / F.greatest(by, F.lit(1))), F.lit(most))).otherwise(F.lit(0)).cast("int")
+def _per(top: Column, by: Column, scale: int) -> Column:
+    return F.when(by > 0, F.floor(top * scale / F.greatest(by, F.lit(1)))).otherwise(F.lit(0)).cast("long")
 
 
 #: Rule -> metric of the statistics; a document is rejected where it is at or above the cutoff.
 RULES = {
-    "symbols": lambda s: _per(s["n_symbols"], s["n_words"], 1000, 5000),
-    "dup_lines": lambda s: _per(s["n_dup_lines"], s["n_lines"], 1000, 1000),
-    "repeats": lambda s: _per(s["n_repeat_words"], s["n_words"], 1000, 1000),
-    "long_words": lambda s: _per(s["word_chars"], s["n_words"], 100, 5000),
-    "short_words": lambda s: F.lit(5000) - _per(s["word_chars"], s["n_words"], 100, 5000),
+    "symbols": lambda s: _per(s["n_symbols"], s["n_words"], 1000),
+    "dup_lines": lambda s: _per(s["n_dup_lines"], s["n_lines"], 1000),
+    "repeats": lambda s: _per(s["n_repeat_words"], s["n_words"], 1000),
+    "long_words": lambda s: _per(s["word_chars"], s["n_words"], 100),
+    "short_words": lambda s: -_per(s["word_chars"], s["n_words"], 100),
 }
 
 
@@ -134,7 +134,7 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, cfg: RiskConfig = Ris
     columns = [of(F.col("s")).alias(name) for name, of in RULES.items()]
     used = write(stats.where(~base_failed(F.col("s"), cfg)).join(labelled, "doc_id").select("stratum", (F.col("quality") == 1).alias("good"), *columns), "labelled-stats").df
     strata = used.select("stratum").distinct().count()
-    chosen = used.select("stratum").distinct().select("stratum", F.create_map().cast("map<string,int>").alias("cutoffs"))
+    chosen = used.select("stratum").distinct().select("stratum", F.create_map().cast("map<string,bigint>").alias("cutoffs"))
     for name in RULES:
         chosen = write(_add_cutoff(used, chosen, strata, name, cfg), "cutoffs").df
     return chosen.where(F.size("cutoffs") > 0)
@@ -153,7 +153,7 @@ def _add_cutoff(used: DataFrame, chosen: DataFrame, strata: int, name: str, cfg:
     rows = used.join(chosen, "stratum").select("stratum", "good", F.col(name).alias("m"), caught.alias("caught"))
     count = lambda x: F.count_if(x)
     counted = rows.groupBy("stratum", "m").agg(count(F.col("good")).alias("good"), count(F.col("good") & ~F.col("caught")).alias("new_good"), count(~F.col("good") & ~F.col("caught")).alias("new_bad"), count(~F.col("good")).alias("bad"))
-    # metrics are capped, so a stratum has at most 5001 rows here
+    # a row per value that a ratio of whole numbers takes in a stratum, far fewer than documents
     whole, falling = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy(F.desc("m"))
     over = lambda c, w: F.sum(c).over(w)
     at = counted.select("stratum", "m", over("good", falling).alias("k"), over("new_good", falling).alias("lost"), over("new_bad", falling).alias("hit"), over("good", whole).alias("n"), over("bad", whole).alias("n_bad"))
@@ -183,20 +183,18 @@ def judge(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig(), st
     rows = docs.select(F.col("doc_id"), stratum_of(F.col(stratum_col)).alias("stratum"), text_stats(F.col("text")).alias("s"))
     stats = write(rows, "quality-stats").df
     cutoffs = write(certified_cutoffs(stats, labels, cfg), "cutoffs").df
-    out = stats.join(cutoffs, "stratum", "left")
+    out = stats.join(small(cutoffs), "stratum", "left")
     return out.select("doc_id", "s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words", base_failed(F.col("s"), cfg).alias("base_failed"), (~base_failed(F.col("s"), cfg) & passes(F.col("s"), F.col("cutoffs"))).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig(), stratum_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with their columns.
+    """The rows of ``docs`` that :func:`judge` keeps, with their columns, whatever they are called.
 
-    The statistics are written for the cutoffs and computed a second time for
-    the verdict rather than joined back, so the texts aren't shuffled. The cutoffs are a row per stratum in a written
-    table; Spark broadcasts it if it is below the session's threshold.
+    Rows are written with their statistics, which cost far more than a write:
+    the cutoffs are made of the statistics, and the verdict needs both.
     """
-    rows = docs.select(F.col("doc_id"), stratum_of(F.col(stratum_col)).alias("stratum"), text_stats(F.col("text")).alias("s"))
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("doc_id"), stratum_of(docs[stratum_col]).alias("stratum"), text_stats(docs["text"]).alias("s"))
     rows = write(rows, "quality-stats").df
-    cutoffs = write(certified_cutoffs(rows, labels, cfg).select(F.col("stratum").alias("__stratum"), F.col("cutoffs").alias("__cutoffs")), "cutoffs").df
-    judged = docs.join(cutoffs, stratum_of(docs[stratum_col]) == F.col("__stratum"), "left")
-    verdict = let(text_stats(docs["text"]), lambda s: ~base_failed(s, cfg) & passes(s, F.col("__cutoffs")))
-    return judged.where(verdict).select(*(docs[c] for c in docs.columns))
+    cutoffs = write(certified_cutoffs(rows.select("doc_id", "stratum", "s"), labels, cfg), "cutoffs").df
+    judged = rows.join(small(cutoffs), "stratum", "left")
+    return judged.where(~base_failed(F.col("s"), cfg) & passes(F.col("s"), F.col("cutoffs"))).select("row.*")

@@ -11,22 +11,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import write
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, most: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``most`` labelled rows, half of each label at most.
+
+#: bytes of text that the driver trains on at most
+TRAINING_BYTES = 64 << 20
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, most: int, most_bytes: int = TRAINING_BYTES) -> list[tuple[str, int]]:
+    """(text, label) of at most ``most`` labelled rows and ``most_bytes`` bytes.
+
+    Labels have the shares they have among all rows, but the rarer one a
+    quarter if there are enough of it.
 
     Rows are those of ``labels`` where ``learn`` holds, the label is 0 or 1 and
-    the id isn't null; of each label those whose id hashes lowest are taken, so
-    reruns take the same ones. Contradicting labels of an id count as 1. Only
-    the ids drawn, ``most`` at the most, are broadcast to the documents.
+    the id is that of a document; of each label those whose id hashes lowest
+    are taken, so reruns take the same ones. Contradicting labels of an id
+    count as 1. A text that would exceed the bytes is passed over. Only the
+    ids drawn, ``most`` at the most, are broadcast to the documents.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & learn).groupBy("doc_id").agg(F.max(label_col).alias("__label"))
-    half = lambda v: rows.where(F.col("__label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
-    drawn = half(0).unionByName(half(1)).select(F.col("doc_id").alias("__id"), "__label")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
+    there = docs.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
+    rows = rows.join(there, F.col("doc_id") == F.col("__id"), "left_semi")
+    found = write(rows, "labelled").df
+    n = {int(r[0]): r[1] for r in found.groupBy("__label").agg(F.count(F.lit(1))).collect()}
+    ones = min(max(n.get(1, 0) / max(sum(n.values()), 1), 0.25), 0.75)
+    part = lambda v, share: found.where(F.col("__label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(round(most * share))
+    drawn = write(part(1, ones).unionByName(part(0, 1 - ones)).select(F.col("doc_id").alias("__id"), "__label"), "drawn")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn.df), F.col("doc_id") == F.col("__id"))
+    texts = texts.select(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t")).alias("at"), "text", "__label")
+    texts = write(texts, "training")
     # an id that stands in several rows may give more rows than were drawn
-    found = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select("text", "__label").collect()
-    return [(r[0], int(r[1])) for r in found]
+    sizes = texts.df.select("at", F.octet_length("text").alias("n")).orderBy("at").limit(most).collect()
+    taken, room = [], most_bytes
+    for r in sizes:
+        if r["n"] <= room:
+            taken.append((r["at"]["h"], r["at"]["t"]))
+            room -= r["n"]
+    out: list[tuple[str, int]] = []
+    if taken:
+        chosen = docs.sparkSession.createDataFrame(sorted(set(taken)), "h long, t long")
+        found = texts.df.join(F.broadcast(chosen), (F.col("at.h") == F.col("h")) & (F.col("at.t") == F.col("t")), "left_semi")
+        out = [(r[0], int(r[1])) for r in found.orderBy("at").limit(len(taken)).select("text", "__label").collect()]
+    drawn.drop()
+    texts.drop()
+    return out
 
 
 _STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -67,11 +96,31 @@ def hashed_ngrams(words: list[str], least: int, most: int, bits: int, whole: boo
     return np.concatenate(owners), np.concatenate(buckets)
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64 bits of each word; those of a word don't depend on the others."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    codes = np.frombuffer("".join(f"<{w}" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(codes)) - np.repeat(starts, sizes)
+    with np.errstate(over="ignore"):
+        h = np.add.reduceat(codes * np.cumprod(np.full(int(sizes.max()), _STEP, np.uint64))[place], starts)
+        return (h ^ (h >> np.uint64(31))) * _MIX
+
+
+def bigram_buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each two words that follow one another, from the words' hashes."""
+    with np.errstate(over="ignore"):
+        h = hashes[:-1] * _STEP + hashes[1:]
+        return (((h ^ (h >> np.uint64(29))) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+def slices(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
     """The texts in lists of about ``chars`` characters, or one longer text."""
     part, size = [], 0
     for t in texts:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, fresh
 from .textmodel import hashed_ngrams, sigmoid, slices, training_rows, with_scores
 
 
@@ -131,6 +131,7 @@ def score(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with their columns."""
+    """The rows of ``docs`` that aren't predicted toxic, with their columns, whatever they are called."""
     model = fit(docs, labels, cfg)
-    return with_scores(docs, model.scorer(), "text", "__toxicity").where(F.col("__toxicity") < cfg.threshold).select(*docs.columns)
+    name = fresh(docs.columns, "toxicity")
+    return with_scores(docs, model.scorer(), "text", name).where(F.col(name) < cfg.threshold).drop(name)

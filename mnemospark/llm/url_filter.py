@@ -76,9 +76,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, known: int, cfg: UrlConfig) ->
 
     A round moves at most ``damping`` of what the last one moved, which bounds
     what is left: rounds end when that is below the tolerance over ``known``
-    hosts, or after the number that is enough for any graph. Rank that reaches
-    a host without out-links is lost, which only scales the result; a host
-    that no seed reaches has no row.
+    hosts, or after the number that is enough for any graph. What reaches a
+    host without out-links goes on at the seeds: that is the same ranks but
+    for a factor, so they are made without it and then scaled to add up to 1.
+    A host that no seed reaches has no row.
     """
     total = edges.groupBy(F.col("src").alias("t_src")).agg(F.sum("weight").alias("total"))
     shares = write(edges.join(total, F.col("src") == F.col("t_src")).select("src", "dst", (F.col("weight") / F.col("total")).alias("w")), "edges")
@@ -86,7 +87,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, known: int, cfg: UrlConfig) ->
     rank = write(start.df.select("host", F.col("base").alias("rank")), "rank")
     if not 0 < cfg.damping < 1:
         raise ValueError("damping must be between 0 and 1")
-    least = cfg.tolerance / max(known, 1)
+    # scaling multiplies what is off by 1 / (1 - damping) at most
+    least = cfg.tolerance / max(known, 1) * (1 - cfg.damping) / 2
     kept = cfg.damping**STEPS
     base = start.df.select("host", F.col("base").alias("rank"))
     for _ in range(max(1, math.ceil(math.log(least) / math.log(kept)))):
@@ -103,7 +105,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, known: int, cfg: UrlConfig) ->
         rank = settled
         if not moved or moved * kept / (1 - kept) < least:
             break
-    return rank.df.select("host", "rank")
+    whole = rank.df.agg(F.sum("rank")).first()[0] or 1.0
+    return rank.df.select("host", (F.col("rank") / whole).alias("rank"))
 
 
 def judge(pages: DataFrame, cfg: UrlConfig = UrlConfig()) -> DataFrame:

@@ -3,7 +3,8 @@
 The dictionary is trained on a bounded sample of the records. Each archive
 starts with a skippable frame (0x184D2A5D) that holds it; then every record is
 a frame of its own, so any record can be read with the dictionary and its
-offset. Archives are written by the executors into a folder they share. A
+offset. Archives are written by the executors into a folder they share, through
+Arrow's file systems (local or mounted folders, HDFS, object stores). A
 file's name is new for each attempt at a task, and only names that a finished
 task reported are read, so tasks that run again do no harm.
 
@@ -14,7 +15,6 @@ revisits of the one with the smallest page id and carry no payload.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -22,21 +22,22 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_path, new_path, write
+from .common import new_path, write
 
 MAGIC = 0x184D2A5D
 
 
 @dataclass(frozen=True)
 class WarcConfig:
-    """sample: records the dictionary is trained on at most, the first sample_bytes bytes of each."""
+    """sample and sample_bytes: whole records, and bytes of them, that the dictionary is trained on at most."""
 
     least_bytes: int = 100
     sample: int = 400
-    sample_bytes: int = 16_384
+    sample_bytes: int = 8 << 20
     dictionary_bytes: int = 65_536
     level: int = 3
     file_bytes: int = 256 << 20
@@ -100,25 +101,31 @@ def archive(pages: DataFrame, folder: str, cfg: WarcConfig = WarcConfig()) -> Da
     Of rows that share the smallest page id of their payload all are
     responses. An empty table makes no archive.
     """
-    # the hashes' cut is found first: a top-k of the payloads would send k of them from every task
-    order = F.xxhash64("page_id", "url")
-    cut = pages.select(order.alias("h")).orderBy("h").limit(cfg.sample).agg(F.max("h")).first()[0]
-    head = F.substring(F.coalesce("html", F.lit("")).cast("binary"), 1, cfg.sample_bytes)
-    sample = [] if cut is None else pages.where(order <= cut).select(head).limit(cfg.sample).collect()
-    samples = [record(i, "http://www.example.com/", bytes(r[0]), len(r[0]), "0" * 64, None, None, "response") for i, r in enumerate(sample)]
+    # hashes and sizes are looked at first: a top-k of the payloads would send k of them from every task
+    order, size = F.xxhash64("page_id", "url"), F.octet_length(F.coalesce("html", F.lit("")))
+    taken, room = [], cfg.sample_bytes
+    for h, n in pages.select(order.alias("h"), size.alias("n")).orderBy("h", "n").limit(cfg.sample).collect():
+        if n <= room:
+            taken.append((h, n))
+            room -= n
+    chosen = pages.sparkSession.createDataFrame(sorted(set(taken)), "h long, n int")
+    # rows that share a hash and a size may be more than were counted
+    sample = pages.join(F.broadcast(chosen), (order == F.col("h")) & (size == F.col("n")), "left_semi").select(F.coalesce("html", F.lit(""))).limit(len(taken)).collect() if taken else []
+    samples = [record(i, "http://www.example.com/", p, len(p), "0" * 64, None, None, "response") for i, p in enumerate(r[0].encode() for r in sample)]
     dictionary = train_dictionary(samples, cfg.dictionary_bytes)
-    at = local_path(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(at, exist_ok=True)
+        where, at = file_system(folder)
+        where.create_dir(at, recursive=True)
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=cfg.level, dict_data=data, write_content_size=True, write_checksum=True)
         done, out, path, n = [], None, "", 0
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
-                    path, n = f"{at}/{uuid.uuid4().hex}.warc.zst", 0
-                    out = open(path, "wb")
+                    name, n = f"{uuid.uuid4().hex}.warc.zst", 0
+                    path = f"{folder.rstrip('/')}/{name}"
+                    out = where.open_output_stream(f"{at}/{name}", compression=None)
                     out.write(struct.pack("<II", MAGIC, len(dictionary)) + dictionary)
                 payload = None if r["revisit"] else r["html"].encode()
                 out.write(packer.compress(record(r["page_id"], r["url"], payload, r["size"], r["digest"], r["refers_to"], r["refers_url"], "revisit" if r["revisit"] else "response")))
@@ -135,9 +142,17 @@ def archive(pages: DataFrame, folder: str, cfg: WarcConfig = WarcConfig()) -> Da
     return write(classified(pages, cfg).mapInArrow(run, "path string, records long, bytes long"), "archives").df
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path or a URI, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 def frames(path: str) -> Iterator[bytes]:
     """The records of one archive; one frame is in memory at a time."""
-    with open(path, "rb") as f:
+    where, at = file_system(path)
+    with where.open_input_stream(at, compression=None) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != MAGIC:
             raise ValueError(f"{path} has no dictionary frame")
