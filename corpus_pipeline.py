@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemospark.llm import mixing, packing, quality_rules, simhash, toxicity
-from mnemospark.llm.common import read, write
+from mnemospark.llm.common import read, scratch, write
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = write(stage(spark, docs, sf_dir), f"stage-{name}").df
+        with scratch(spark) as keep:
+            made = keep(write(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if last is not None:
+            last.drop()
+        docs, last = made.df, made
     return STAGES[-1][1](spark, docs, sf_dir)
