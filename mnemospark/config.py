@@ -29,6 +29,9 @@ class ActivationConfig:
     incident_scale: float = 1.5
     incident_tokens: tuple[str, ...] = ("incident", "on", "call", "alert", "woke", "3am", "am", "overnight")
     max_candidates: int | None = None
+    slot_admission: bool = True
+    entity_admission: bool = True
+    admission_requires_state: bool = True
     force_admission: bool = False
 
 

@@ -51,14 +51,23 @@ def interval_relation(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     )
 
 
-def update_relation(same_claim: Column, same_object: Column, same_polarity: Column, one: Column, relation: Column) -> Column:
-    """How a new claim in a slot relates to one that is there."""
+def update_relation(same_claim: Column, same_object: Column, same_polarity: Column, one: Column, relation: Column, same_cardinality: Column | None = None, same_slot: Column | None = None, same_validity: Column | None = None) -> Column:
+    """How a new claim relates to one that is there; ``one``: the new one's slot holds one value at a time.
+
+    Claims of one slot whose cardinalities differ conflict, and so do opposite
+    polarities of one object at overlapping or unknown times.
+    """
+    no, yes = F.lit(False), F.lit(True)
+    differs, slot, valid = (no if same_cardinality is None else ~same_cardinality), (yes if same_slot is None else same_slot), (no if same_validity is None else same_validity)
+    apart = relation.isin("before", "after")
     return (
-        F.when(same_claim & relation.isin("overlaps", "unknown"), "reinforces")
-        .when(~one & same_polarity, "coexists")
-        .when(~one & ~same_object, "coexists")
-        .when(relation.isin("before", "after"), "supersedes")
-        .when(same_claim, "coexists")
+        F.when(same_claim & (valid | relation.isin("overlaps", "unknown")), "reinforces")
+        .when(~same_claim & ~slot, "coexists")
+        .when(~one, "coexists")
+        .when(differs, "conflicts")
+        .when(same_object & ~same_polarity, F.when(apart, "supersedes").otherwise("conflicts"))
+        .when(~slot, "coexists")
+        .when(apart, "supersedes")
         .otherwise("conflicts")
     )
 

@@ -70,10 +70,20 @@ def same(a: Column, b: Column) -> Column:
     return F.when(canonical_text(a).eqNullSafe(canonical_text(b)), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+def _plain(x: Column) -> Column:
+    """Like canonical_text, within arrays, where Python functions can't be; compatibility forms stay as they are."""
+    return F.lower(F.trim(F.regexp_replace(x, "[\\s\\x1C-\\x1F]+", " ")))
+
+
+def qualifier_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two maps' canonical pairs."""
+    return jaccard(qualifier_pairs(a), qualifier_pairs(b))
+
+
 def qualifier_pairs(q: Column) -> Column:
     """The canonical key=value strings of a map, sorted."""
     entries = F.map_entries(F.coalesce(q, F.create_map().cast("map<string,string>")))
-    return F.array_sort(F.transform(entries, lambda e: F.concat(F.lower(e["key"]), F.lit("="), F.lower(e["value"]))))
+    return F.array_sort(F.transform(entries, lambda e: F.concat(_plain(e["key"]), F.lit("="), _plain(e["value"]))))
 
 
 def token_estimate(text: Column) -> Column:

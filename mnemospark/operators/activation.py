@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import ActivationConfig
 from ..functions.maths import log_term, seconds_between, sigmoid
 from ..functions.text import jaccard
+from ..functions.text import tokens as word_tokens
 
 CFG = ActivationConfig()
 
@@ -50,21 +51,36 @@ def idf(docs: DataFrame, tokens: str, n: Column) -> DataFrame:
     return rows.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
 
 
-def weighted_text_fit(docs: DataFrame, doc_id: str, tokens: str, cues: DataFrame, weights: DataFrame, n_docs: int) -> DataFrame:
+def idf_by(docs: DataFrame, tokens: str, by: list[str]) -> DataFrame:
+    """(by, token, df, idf): idf within each group, whose candidates the others don't change."""
+    n = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(*by, F.explode(tokens).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
+    return rows.join(n, by).select(*by, "token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def incident_scale(cue_tokens: Column, cfg: ActivationConfig = CFG) -> Column:
+    """What the idf of a cue's tokens is multiplied by: more if it speaks of an incident."""
+    return F.when(F.arrays_overlap(cue_tokens, F.array(*(F.lit(t) for t in cfg.incident_tokens))), F.lit(cfg.incident_scale)).otherwise(F.lit(1.0))
+
+
+def weighted_text_fit(docs: DataFrame, doc_id: str, tokens: str, cues: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(cue_id, doc_id, coverage, f1): shares of idf mass.
 
-    ``cues``: cue_id, tokens (distinct). Only pairs that share a token are
-    made: documents meet cues by token. A cue token that no document has
-    weighs as much as one of no count.
+    ``cues``: cue_id, tokens (distinct), and the columns ``by``, in which a
+    cue and its documents agree. Only pairs that share a token are made:
+    documents meet cues by token. A cue token that no document has weighs as
+    much as one of no count; a column ``scale`` of the cues multiplies theirs.
     """
-    doc_rows = docs.select(doc_id, F.explode(tokens).alias("token")).join(weights.select("token", "idf"), "token")
+    keys = by or []
+    doc_rows = docs.select(*keys, doc_id, F.explode(tokens).alias("token")).join(weights.select(*keys, "token", "idf"), [*keys, "token"])
     doc_mass = doc_rows.groupBy(doc_id).agg(F.sum("idf").alias("doc_mass"))
-    cue_rows = cues.select("cue_id", F.explode("tokens").alias("token")).join(weights.select("token", "idf"), "token", "left")
-    cue_rows = cue_rows.withColumn("idf", F.coalesce("idf", F.lit(1.0)))
+    scale = F.col("scale") if "scale" in cues.columns else F.lit(1.0)
+    cue_rows = cues.select(*keys, "cue_id", scale.alias("scale"), F.explode("tokens").alias("token")).join(weights.select(*keys, "token", "idf"), [*keys, "token"], "left")
+    cue_rows = cue_rows.withColumn("idf", F.coalesce("idf", F.lit(1.0)) * F.col("scale")).drop("scale")
     cue_mass = cue_rows.groupBy("cue_id").agg(F.sum("idf").alias("cue_mass"))
-    hits = doc_rows.drop("idf").join(cue_rows, "token").groupBy("cue_id", doc_id).agg(F.sum("idf").alias("hit"))
+    hits = doc_rows.withColumnRenamed("idf", "own").join(cue_rows, [*keys, "token"]).groupBy("cue_id", doc_id).agg(F.sum("idf").alias("hit"), F.sum("own").alias("own"))
     out = hits.join(doc_mass, doc_id).join(cue_mass, "cue_id")
-    cover, precision = F.col("hit") / F.col("cue_mass"), F.col("hit") / F.col("doc_mass")
+    cover, precision = F.col("hit") / F.col("cue_mass"), F.col("own") / F.col("doc_mass")
     return out.select("cue_id", doc_id, cover.alias("coverage"), (2 * cover * precision / (cover + precision)).alias("f1"))
 
 
@@ -139,10 +155,12 @@ def top_k(df: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def seed_entities(candidates: DataFrame, entities: str, cues: DataFrame) -> DataFrame:
-    """(cue_id, seeds): entities of candidates that a cue's tokens name."""
-    named = candidates.select(F.explode(entities).alias("entity")).distinct().withColumn("token", F.lower("entity"))
-    found = cues.select("cue_id", F.explode("tokens").alias("token")).join(named, "token")
+def seed_entities(candidates: DataFrame, entities: str, cues: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(cue_id, seeds): entities of candidates that a cue's tokens name, in whole or by one of their tokens."""
+    keys = by or []
+    every = candidates.select(*keys, F.explode(entities).alias("entity")).distinct()
+    named = every.withColumn("token", F.explode(F.array_union(word_tokens(F.col("entity")), F.array(F.lower("entity")))))
+    found = cues.select("cue_id", *keys, F.explode("tokens").alias("token")).join(named, [*keys, "token"])
     return found.groupBy("cue_id").agg(F.array_sort(F.collect_set("entity")).alias("seeds"))
 
 

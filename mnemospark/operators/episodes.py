@@ -94,3 +94,12 @@ def entities(df: DataFrame, by: list[str], subject: Column, actor: Column | None
     parts += [F.transform(F.coalesce(named, F.array().cast("array<string>")), lambda e: pair(e, "entity"))] if named is not None else []
     rows = df.select(*by, F.explode(F.concat(*parts)).alias("e")).where("e.entity_id is not null and e.entity_id <> ''")
     return rows.groupBy(*by).agg(F.array_sort(F.collect_set("e")).alias("entities"))
+
+
+def metadata(sessions: DataFrame, keys: list[str], at: str, sets: dict[str, str]) -> DataFrame:
+    """Of each session: observations, whole seconds it lasts, and the sorted distinct values of columns.
+
+    ``sets``: name of the result -> column.
+    """
+    length = (F.unix_seconds(F.max(F.col(at).cast("timestamp"))) - F.unix_seconds(F.min(F.col(at).cast("timestamp")))).alias("duration_seconds")
+    return sessions.groupBy(*keys, "session").agg(F.count(F.lit(1)).alias("observation_count"), length, *(F.array_sort(F.collect_set(c)).alias(name) for name, c in sets.items()))

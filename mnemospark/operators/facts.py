@@ -38,9 +38,14 @@ def slot_and_claim(tenant: Column, subject: Column, predicate: Column, qualifier
     return slot, hash_parts(slot, canonical_text(obj), polarity)
 
 
-def claim_statement(subject: Column, predicate: Column, obj: Column, polarity: Column) -> Column:
+def claim_statement(subject: Column, predicate: Column, obj: Column, polarity: Column, qualifiers: Column | None = None) -> Column:
+    """The claim as a sentence, qualifiers in brackets."""
     verb = F.translate(predicate, "_", " ")
-    return F.concat_ws(" ", F.coalesce(subject, F.lit("subject")), F.when(polarity == "deny", F.concat(F.lit("does not "), verb)).otherwise(verb), obj)
+    said = F.concat_ws(" ", F.coalesce(subject, F.lit("subject")), F.when(polarity == "deny", F.concat(F.lit("does not "), verb)).otherwise(verb), obj)
+    if qualifiers is None:
+        return said
+    pairs = F.array_join(qualifier_pairs(qualifiers), ", ")
+    return F.when(pairs == "", said).otherwise(F.concat(said, F.lit(" ("), pairs, F.lit(")")))
 
 
 def best_per_episode(candidates: DataFrame, order: str) -> DataFrame:

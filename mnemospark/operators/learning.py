@@ -50,6 +50,33 @@ def new_events(events: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.withColumn("o_id", clash).where("o_id is null").select(events.columns)
 
 
+def associations_within(pairs: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """(left, right, ...): pairs both of whose ends are candidates, in order."""
+    ends = candidates.select(key).distinct()
+    one = pairs.join(ends.withColumnRenamed(key, "left"), "left", "left_semi")
+    return one.join(ends.withColumnRenamed(key, "right"), "right", "left_semi").select(pairs.columns)
+
+
+def invalid_targets(feedback: DataFrame, memories: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Feedback (kind, key, subject_id, revision_key) that names no visible memory, with ``problem``.
+
+    ``memories``: kind, key, subject_id, visible; ``revisions``: memory_key,
+    revision_key. A revision may be named for facts only and must be one of
+    theirs; a subject, where both have one, must be the memory's.
+    """
+    m = memories.select("kind", "key", F.col("subject_id").alias("m_subject"), "visible")
+    r = revisions.select(F.col("memory_key").alias("key"), "revision_key").distinct().withColumn("r_there", F.lit(True))
+    x = feedback.join(m, ["kind", "key"], "left").join(r, ["key", "revision_key"], "left")
+    problem = (
+        F.when(F.col("visible").isNull(), "unknown memory")
+        .when(~F.col("visible"), "memory is not visible")
+        .when(F.col("subject_id") != F.col("m_subject"), "other subject")
+        .when(F.col("revision_key").isNotNull() & (F.col("kind") != "semantic"), "revision of an episode")
+        .when(F.col("revision_key").isNotNull() & F.col("r_there").isNull(), "revision of another memory")
+    )
+    return x.withColumn("problem", problem).where("problem is not null").select(*feedback.columns, "problem")
+
+
 def context_key(text: Column, subject: Column, entities: Column) -> Column:
     """``global``, or a hash of the goal's fields."""
     part = lambda name, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(name + ":"), x))

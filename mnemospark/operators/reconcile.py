@@ -17,12 +17,41 @@ from ..functions.maths import valid_at
 REVISION = "slot_key string, memory_key string, revision_key string, object_value string, cardinality string, valid_from timestamp, valid_until timestamp, support_count long, support_mass double, importance double, status string, update_relation string, conflicts array<string>, superseded_by array<string>, namespaces long"
 
 
+def iso_utc(t: Column) -> Column:
+    """A time as ISO 8601 in UTC, with microseconds where there are any."""
+    utc = F.to_utc_timestamp(t.cast("timestamp"), F.current_timezone())
+    micros = F.pmod(F.unix_micros(t.cast("timestamp")), F.lit(1_000_000))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
 def revision_key(memory_key: Column, start: Column, end: Column) -> Column:
-    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    marker = F.when(start.isNotNull(), iso(start)).when(end.isNotNull(), F.concat(F.lit("end:"), iso(end))).otherwise("unspecified")
+    marker = F.when(start.isNotNull(), iso_utc(start)).when(end.isNotNull(), F.concat(F.lit("end:"), iso_utc(end))).otherwise("unspecified")
     return F.sha2(F.concat_ws("\x1f", memory_key, marker), 256)
 
 
+def semantic_fingerprint(claim_key: Column, status: Column, confidence: Column, importance: Column, supports: Column, contradictions: Column, evidence: Column, versions: tuple[str, str] = ("1", "1")) -> Column:
+    """SHA-256 over a memory's content; numbers have six places.
+
+    ``supports`` and ``contradictions``: arrays of (episode_id, weight);
+    ``evidence``: an array of (observation_id, observation_revision,
+    contribution_score), in its order.
+    """
+    six = lambda x: F.format_string("%.6f", x)
+    pairs = lambda a: F.array_join(F.transform(F.array_sort(a), lambda x: F.concat_ws("\x1f", x["episode_id"], six(x["weight"]))), "\x1e")
+    seen = F.array_join(F.transform(evidence, lambda x: F.concat_ws("\x1f", x["observation_id"], x["observation_revision"].cast("string"), six(x["contribution_score"]))), "\x1e")
+    return F.sha2(F.concat_ws("\x1f", claim_key, status, six(confidence), six(importance), pairs(supports), pairs(contradictions), seen, *(F.lit(v) for v in versions)), 256)
+
+
+def consolidation_counters(claims: DataFrame, revisions: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """One row: canonical claims, promoted memories, contested and superseded revisions, and created and kept revision keys."""
+    found = claims.agg(F.countDistinct("claim_key").alias("canonical_claims"))
+    old = revisions.select("revision_key").limit(0) if before is None else before.select("revision_key").distinct()
+    r = revisions.join(old.withColumn("there", F.lit(True)), "revision_key", "left")
+    counted = r.agg(F.countDistinct("memory_key").alias("promoted"), F.count_if(F.col("there").isNull()).alias("created"), F.count_if("there").alias("kept"), *(F.count_if(F.col("status") == x).alias(x) for x in ("active", "contested", "superseded")))
+    # two single rows
+    return found.crossJoin(counted)
+
+
 def _relation(a: dict, b: dict) -> str:
     ends = (a["valid_from"], a["valid_until"], b["valid_from"], b["valid_until"])
     if all(x is None for x in ends):

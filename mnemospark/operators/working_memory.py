@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import WorkingMemoryConfig
-from ..functions.maths import clip, half_life
+from ..functions.maths import clip, half_life, seconds_between
 from ..functions.text import token_f1
 
 CFG = WorkingMemoryConfig()
@@ -45,3 +45,23 @@ def stale_goal_penalty(goal: Column, status: Column, tags: Column, cfg: WorkingM
     """For goals that speak of what is stale: superseded rows and rows so tagged lose."""
     both = cfg.stale_penalty * ((status == "superseded").cast("int") + F.coalesce(F.array_contains(tags, "stale"), F.lit(False)).cast("int"))
     return F.when(F.lower(goal).contains("stale"), F.least(F.lit(1.0), both)).otherwise(F.lit(0.0))
+
+
+def above_floor(pool: DataFrame, relevance: str, cfg: WorkingMemoryConfig = WorkingMemoryConfig()) -> tuple[DataFrame, DataFrame]:
+    """Rows relevant enough for the goal, and (cue_id, dropped), the number of the others."""
+    low = F.col(relevance) < cfg.least_relevance
+    return pool.where(~low), pool.groupBy("cue_id").agg(F.count_if(low).alias("dropped"))
+
+
+def with_carryover(pool: DataFrame, previous: DataFrame, at: Column, cfg: WorkingMemoryConfig = WorkingMemoryConfig()) -> DataFrame:
+    """``pool`` (cue_id, tenant_id, subject_id, kind, key) with ``carried``: what is left of the strength in the last selection.
+
+    ``previous`` has cue_id, tenant_id, subject_id, kind, key, strength and
+    selected_at; one of another tenant or subject is an error.
+    """
+    p = previous.select("cue_id", "kind", "key", F.col("tenant_id").alias("p_tenant"), F.col("subject_id").alias("p_subject"), "strength", "selected_at")
+    x = pool.join(p, ["cue_id", "kind", "key"], "left")
+    strange = F.col("strength").isNotNull() & ~(F.col("p_tenant").eqNullSafe(F.col("tenant_id")) & F.col("p_subject").eqNullSafe(F.col("subject_id")))
+    age = seconds_between(F.col("selected_at"), at)
+    value = F.when(strange, F.raise_error(F.lit("the last selection is of another tenant or subject")).cast("double")).otherwise(F.coalesce(carryover(F.col("strength"), age, cfg), F.lit(0.0)))
+    return x.withColumn("carried", value).select(*pool.columns, "carried")

@@ -324,9 +324,10 @@ def base_level_logsumexp(spark, sf):
 
 
 @query("""WITH o AS (SELECT user_id, epoch_us(ts) // 86400000000 AS b, count(*) AS w, sum(power((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 1e6, -.5)) AS s, min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2)
-SELECT user_id, b AS day, w AS weight, round(CASE WHEN lo = hi THEN (epoch_us(TIMESTAMP '2024-02-01') - lo) / 1e6 ELSE power(w / s, 2) END / 3600, 2) AS hours FROM o""")
+SELECT user_id, epoch_us(ts) // 86400000000 AS day, 1 AS weight, round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9, 2) AS hours FROM events WHERE ts >= TIMESTAMP '2024-01-20'
+UNION ALL SELECT user_id, b AS day, w AS weight, round(CASE WHEN lo = hi THEN (epoch_us(TIMESTAMP '2024-02-01') - lo) / 1e6 ELSE power(w / s, 2) END / 3600, 2) AS hours FROM o""")
 def compaction(spark, sf):
-    e = table(spark, sf, "events").where(F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("user_id", "ts", F.lit(1).cast("long").alias("weight"))
+    e = table(spark, sf, "events").select("user_id", "ts", F.lit(1).cast("long").alias("weight"))
     c = G.compact(e, ["user_id"], "ts", "weight", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), as_of())
     return c.select("user_id", M.time_bucket(F.col("ts"), 86400).alias("b"), "weight", _r(M.seconds_between(F.col("ts"), as_of()) / 3600, 2).alias("hours")).select("user_id", F.floor(F.col("b") / 86400).alias("day"), "weight", "hours")
 
@@ -353,7 +354,7 @@ fit AS (SELECT cue_id, doc_id, sum(qi.idf) / any_value(qm.m) AS coverage, sum(qi
 
 def _fit(spark, sf):
     d, weights, n = _idf(spark, sf)
-    return A.weighted_text_fit(d, "doc_id", "tokens", text_cues(spark, sf), weights, n)
+    return A.weighted_text_fit(d, "doc_id", "tokens", text_cues(spark, sf), weights)
 
 
 @query(f"WITH {FIT} SELECT cue_id, doc_id, round(coverage, 4) AS coverage, round(2 * coverage * prec / (coverage + prec), 4) AS f1 FROM fit")
@@ -417,20 +418,21 @@ def temporal_mode(spark, sf):
     return text_cues(spark, sf).select(F.col("cue_id").alias("item_id"), A.temporal_mode(none, F.col("tokens"), none, none).alias("mode"))
 
 
-@query("""WITH s AS (SELECT l_suppkey AS episode_id, list_sort(list(DISTINCT CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'superseded' ELSE 'contested' END)) AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY 1)
+@query("""WITH s AS (SELECT l_suppkey AS episode_id, list_sort(list(DISTINCT CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'superseded' ELSE 'contested' END)) AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT episode_id, array_to_string(st, ',') AS statuses, list_contains(st, 'superseded') AND NOT list_contains(st, 'active') AS excluded FROM s""")
 def superseded_exclusion(spark, sf):
     status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "superseded").otherwise("contested")
-    j = table(spark, sf, "lineitem").where("l_linenumber = 1").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     s = A.support_statuses(j.select(F.col("l_suppkey").alias("episode_id"), F.col("l_partkey").alias("memory_key"), F.col("l_orderkey").alias("revision_key"), F.col("o_custkey").alias("slot_key"), status.alias("status")))
     return s.select("episode_id", F.array_join("statuses", ",").alias("statuses"), A.superseded_only(F.col("statuses")).alias("excluded"))
 
 
-@query(f"WITH t AS (SELECT doc_id, source, {TOKENS} AS t FROM documents), e AS (SELECT DISTINCT lower(source) AS source FROM documents) SELECT d.doc_id, string_agg(e.source, ',' ORDER BY e.source) AS seeds FROM t d, e WHERE list_contains(d.t, e.source) GROUP BY 1")
+@query("""WITH q AS (SELECT p_partkey AS cue_id, unnest(list_distinct(string_split(lower(p_name), ' '))) AS token FROM part), e AS (SELECT DISTINCT p_type AS entity FROM part), t AS (SELECT entity, unnest(string_split(lower(entity), ' ')) AS token FROM e)
+SELECT cue_id, string_agg(DISTINCT entity, ',' ORDER BY entity) AS seeds FROM q JOIN t USING (token) GROUP BY 1""")
 def entity_seeding(spark, sf):
-    d = text_candidates(spark, sf)
-    s = A.seed_entities(d.select(F.array("source").alias("e")), "e", d.select(F.col("doc_id").alias("cue_id"), "tokens"))
-    return s.select(F.col("cue_id").alias("doc_id"), F.array_join("seeds", ",").alias("seeds"))
+    p = table(spark, sf, "part")
+    s = A.seed_entities(p.select(F.array("p_type").alias("e")), "e", p.select(F.col("p_partkey").alias("cue_id"), X.tokens(F.col("p_name")).alias("tokens")))
+    return s.select("cue_id", F.array_join("seeds", ",").alias("seeds"))
 
 
 # ---- spreading ---------------------------------------------------------------
@@ -443,11 +445,12 @@ def fan(spark, sf):
     return S.fan(order_edges(spark, sf))
 
 
-SRC = "src AS (SELECT p_partkey % 10 AS cue_id, 'P:' || p_partkey AS entity FROM part WHERE p_size = 1), fr AS (SELECT cue_id, entity, 1.0 / count(*) OVER (PARTITION BY cue_id) AS a FROM src)"
+SRC = "src AS (SELECT p_partkey // 4 AS cue_id, 'P:' || p_partkey AS entity FROM part), fr AS (SELECT cue_id, entity, 1.0 / count(*) OVER (PARTITION BY cue_id) AS a FROM src)"
 
 
 def _sources(spark, sf):
-    return table(spark, sf, "part").where("p_size = 1").select((F.col("p_partkey") % 10).alias("cue_id"), F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("entity"))
+    # four sources for each cue, so that a source's share doesn't depend on the size of the table
+    return table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 4).alias("cue_id"), F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("entity"))
 
 
 @query(f"WITH {EDGES}, {SRC} SELECT cue_id, memory, round(least(1, sum(a / fan)), 4) AS spreading FROM fr JOIN f USING (entity) JOIN e USING (entity) WHERE a >= .001 AND a / fan >= .001 GROUP BY 1, 2")
@@ -465,26 +468,27 @@ def spread_2hop(spark, sf):
     return S.spread(order_edges(spark, sf), _sources(spark, sf), ActivationConfig(least_activation=0.0001)).select("cue_id", "memory", _r("spreading").alias("spreading"), "hop")
 
 
-LINKS = "l AS (SELECT a.l_orderkey AS lo, b.l_orderkey AS hi, 1 - exp(-count(*) / 3.0) AS s FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 1 GROUP BY 1, 2)"
+LINKS = "l AS (SELECT a.l_orderkey AS lo, b.l_orderkey AS hi, 1 - exp(-count(*) / 3.0) AS s FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2)"
 
 
-@query(f"""WITH {EDGES}, {SRC}, {LINKS}, m AS (SELECT cue_id, memory, sum(a / fan) AS g FROM fr JOIN f USING (entity) JOIN e USING (entity) WHERE a >= .0001 AND a / fan >= .0001 GROUP BY 1, 2), b AS (SELECT lo AS x, hi AS y, s FROM l UNION ALL SELECT hi, lo, s FROM l),
-n AS (SELECT cue_id, y AS memory, sum(g * .5 * .25 * s) AS g FROM m JOIN b ON memory = x WHERE g * .5 * .25 * s >= .0001 GROUP BY 1, 2) SELECT cue_id, memory, round(least(1, sum(g)), 4) AS spreading FROM (FROM m UNION ALL FROM n) GROUP BY 1, 2""")
+@query(f"""WITH {EDGES}, {SRC}, {LINKS}, m AS (SELECT cue_id, memory, sum(a / fan) AS g FROM fr JOIN f USING (entity) JOIN e USING (entity) WHERE a >= .0004 AND a / fan >= .0004 GROUP BY 1, 2), b AS (SELECT lo AS x, hi AS y, s FROM l UNION ALL SELECT hi, lo, s FROM l),
+n AS (SELECT cue_id, y AS memory, sum(g * .5 * .25 * s) AS g FROM m JOIN b ON memory = x WHERE g * .5 * .25 * s >= .0004 GROUP BY 1, 2) SELECT cue_id, memory, round(least(1, sum(g)), 4) AS spreading FROM (FROM m UNION ALL FROM n) GROUP BY 1, 2""")
 def learned_spread(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     b = li.select(F.col("l_orderkey").alias("hi"), F.col("l_partkey").alias("part"))
     links = li.join(b, (F.col("l_partkey") == F.col("part")) & (F.col("l_orderkey") < F.col("hi"))).groupBy(F.col("l_orderkey").alias("left"), F.col("hi").alias("right")).agg((1 - F.exp(-F.count(F.lit(1)) / 3.0)).alias("strength"))
-    return S.spread(order_edges(spark, sf), _sources(spark, sf), ActivationConfig(hops=1, least_activation=0.0001), links).select("cue_id", "memory", _r("spreading").alias("spreading"))
+    return S.spread(order_edges(spark, sf), _sources(spark, sf), ActivationConfig(hops=1, least_activation=0.0004), links).select("cue_id", "memory", _r("spreading").alias("spreading"))
 
 
-@query("""WITH q AS (SELECT ['P:' || l_partkey, 'S:' || l_suppkey] AS c, l_orderkey FROM lineitem WHERE l_linenumber = 1), m AS (SELECT l_orderkey, list_distinct(list('P:' || l_partkey) || list('S:' || l_suppkey)) AS e FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
-SELECT l_orderkey, CAST(CASE WHEN len(list_distinct(list_intersect(c, e))) >= 2 THEN .5 ELSE 0.0 END AS DOUBLE) AS bonus FROM q JOIN m USING (l_orderkey)""")
+@query("""WITH q AS (SELECT ['P:' || l_partkey, 'S:' || (l_suppkey + l_linenumber % 2)] AS c, l_orderkey, l_linenumber FROM lineitem), m AS (SELECT l_orderkey, list_distinct(list('P:' || l_partkey) || list('S:' || l_suppkey)) AS e FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN len(list_distinct(list_intersect(c, e))) >= 2 THEN .5 ELSE 0.0 END AS DOUBLE) AS bonus FROM q JOIN m USING (l_orderkey)""")
 def conjunction(spark, sf):
     li = table(spark, sf, "lineitem")
     p, s = F.concat(F.lit("P:"), F.col("l_partkey").cast("string")), F.concat(F.lit("S:"), F.col("l_suppkey").cast("string"))
-    m = li.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_distinct(F.concat(F.collect_list(p), F.collect_list(s))).alias("e"))
-    j = li.where("l_linenumber = 1").select("l_orderkey", F.array(p, s).alias("c")).join(m, F.col("l_orderkey") == F.col("k"))
-    return j.select("l_orderkey", A.conjunction(F.col("c"), F.col("e")).cast("double").alias("bonus"))
+    m = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_distinct(F.concat(F.collect_list(p), F.collect_list(s))).alias("e"))
+    other = F.concat(F.lit("S:"), (F.col("l_suppkey") + F.col("l_linenumber") % 2).cast("string"))
+    j = li.select("l_orderkey", "l_linenumber", F.array(p, other).alias("c")).join(m, F.col("l_orderkey") == F.col("k"))
+    return j.select("l_orderkey", "l_linenumber", A.conjunction(F.col("c"), F.col("e")).cast("double").alias("bonus"))
 
 
 # ---- selection ---------------------------------------------------------------
@@ -685,3 +689,6 @@ def admission(spark, sf):
 @query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def time_buckets(spark, sf):
     return table(spark, sf, "events").groupBy(M.time_bucket(F.col("ts"), 86400).alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import structured  # noqa: E402, F401  (its queries add themselves)

@@ -73,34 +73,45 @@ def clear_tenant(table: DataFrame, tenant: str, column: str = "tenant_id") -> Da
 
 
 class SnapshotStore:
-    """Named tables under a folder; each write makes a new snapshot and then moves the pointer."""
+    """Named tables under a folder; each write makes a new snapshot and then moves the pointer.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    A pointer is an empty file whose name carries a number and the snapshot;
+    the highest counts, so moving it is one creation. A writer that finds it
+    moved since it began gets an error instead of losing the other's rows.
+    The last ``keep`` snapshots stay for results that still read them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 3) -> None:
+        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
 
     def _fs(self, path: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def _pointer(self, name: str) -> str | None:
-        fs, where = self._fs(f"{self.folder}/{name}/current.txt")
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """(number, snapshot), oldest first."""
+        fs, where = self._fs(f"{self.folder}/{name}")
         if not fs.exists(where):
-            return None
-        return self.spark.read.text(f"{self.folder}/{name}/current.txt").first()[0]
+            return []
+        names = [str(f.getPath().getName()) for f in fs.listStatus(where)]
+        return sorted((int(n.split(".")[1]), n.split(".")[2]) for n in names if n.startswith("pointer."))
 
     def read(self, name: str) -> DataFrame | None:
-        at = self._pointer(name)
-        return None if at is None else self.spark.read.parquet(f"{self.folder}/{name}/{at}")
+        versions = self._versions(name)
+        return self.spark.read.parquet(f"{self.folder}/{name}/{versions[-1][1]}") if versions else None
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Write a snapshot of ``df``, which may be derived from the current one."""
-        at, old = f"v-{uuid.uuid4().hex}", self._pointer(name)
+        before, at = self._versions(name), f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}/{at}")
-        fs, where = self._fs(f"{self.folder}/{name}/current.txt")
-        out = fs.create(where, True)
-        out.write(bytearray(at.encode()))
-        out.close()
-        if old:
-            fs, where = self._fs(f"{self.folder}/{name}/{old}")
-            fs.delete(where, True)
+        now = self._versions(name)
+        number = before[-1][0] + 1 if before else 1
+        if now != before:
+            raise RuntimeError(f"{name} was written by another meanwhile")
+        fs, where = self._fs(f"{self.folder}/{name}/pointer.{number:012d}.{at}")
+        fs.create(where, False).close()
+        for old, snapshot in now[: max(0, len(now) + 1 - self.keep)]:
+            for path in (f"pointer.{old:012d}.{snapshot}", snapshot):
+                fs, where = self._fs(f"{self.folder}/{name}/{path}")
+                fs.delete(where, True)
         return self.spark.read.parquet(f"{self.folder}/{name}/{at}")

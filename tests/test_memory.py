@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.session import OBSERVATION, Memory
@@ -29,17 +30,28 @@ def test_process_recall_and_feedback(spark, tmp_path):
     now = T0 + dt.timedelta(days=1)
     cues = spark.createDataFrame([(1, "t", "postgresql incident"), (2, "other", "postgresql")], "cue_id int, tenant_id string, text string")
     got = m.recall(cues, now).collect()
-    assert {r["cue_id"] for r in got} == {1} and len(got) == 5 and got[0]["score"] > 0
+    assert {r["cue_id"] for r in got} == {1} and len(got) == 2 and got[0]["score"] > 0 and "eligibility=" in got[0]["reason"]
+    asked = spark.createDataFrame([(1, "t", "Preferred_Database", "postgresql")], "cue_id int, tenant_id string, predicate string, object_value string")
+    found = {r["kind"]: r for r in m.recall(asked, now).collect()}
+    assert found["semantic"]["rank"] == 1 and found["semantic"]["slot_fit"] == found["episode"]["slot_fit"] == 1.0
+    assert {r["eligibility"] for r in found.values()} == {"semantic_slot_admission"} and len(found["episode"]["provenance"]) == 1
+    other = spark.createDataFrame([(1, "t", "Preferred_Database", "mysql", "nobody")], "cue_id int, tenant_id string, predicate string, object_value string, subject_id string")
+    assert m.recall(other, now).count() == 0
     text, assessment = m.prepare_context(cues, now)
     assert text.first()["text"].startswith("Relevant memory:\n\n- ") and "flags" in assessment.columns
     m.record_access(m.recall(cues, now, 1), now, "r1")
     assert m.record_access(m.recall(cues, now, 1), now, "r1").count() == 1
     key = got[0]
-    fb = spark.createDataFrame([("f", key["kind"], key["key"], "helpful")], "feedback_id string, kind string, key string, outcome string")
+    fb = spark.createDataFrame([("f", "t", key["kind"], key["key"], "helpful")], "feedback_id string, tenant_id string, kind string, key string, outcome string")
     assert m.learn(fb).first()["utility"] > 0.5 and m.learn(fb).first()["helpful"] == 1
     assert m.apply_forgetting(now + dt.timedelta(days=1)).count() == 5
+    with pytest.raises(ValueError, match="unknown memory"):
+        m.learn(spark.createDataFrame([("g", "t", "episode", "none", "helpful")], "feedback_id string, tenant_id string, kind string, key string, outcome string"))
+    assert m.list_episodes("t", limit=2).count() == 2 and m.list_semantic_memories("t", statuses=["active"]).count() == 1 and m.list_semantic_revisions("t").count() == 1
+    assert m.list_learning_state("t").first()["helpful"] == 1 and m.list_observations("t", "s").count() == 4
+    assert m.sleep(now + dt.timedelta(days=2))["active"] == 5
     m.clear("t")
-    assert m.store.read("observations").count() == 0
+    assert all(m.store.read(x).count() == 0 for x in ("observations", "episodes", "revisions", "derivations", "traces", "dynamics", "feedback"))
 
 
 def test_stream_equals_batch(spark, tmp_path):
