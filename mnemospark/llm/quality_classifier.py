@@ -117,8 +117,11 @@ def train(rows: list[tuple[str, int]], cfg: QualityConfig = QualityConfig()) ->
     share = min(ones, len(rows) - ones) / len(rows)
     rare = max(1.0, cfg.rare_share / share * (1 - share) / (1 - cfg.rare_share))
     minor = int(ones * 2 < len(rows))
-    docs = [(*document(t.split(), cfg), y) for t, y in rows]
-    docs = [(ids.astype(np.int32), (counts / max(counts.sum(), 1)).astype(np.float32), y) for ids, counts, y in docs]
+    docs = []
+    for text, y in rows:
+        ids, counts = document(text.split(), cfg)
+        # 8 bytes a feature from here on: those of all texts are in memory together
+        docs.append((ids.astype(np.int32), (counts / max(counts.sum(), 1)).astype(np.float32), y))
     steps = cfg.epochs * len(docs)
     step = 0
     for _ in range(cfg.epochs):
