@@ -6,7 +6,10 @@ solution is r = min(most, exp(lambda * c)), c being the size over its source's
 mean size, and lambda the maximiser of the concave dual of its source's
 constraint. All lambdas are found together by Newton iterations, each one an
 aggregation by source; a step that leaves the bracket known to hold the
-solution is replaced by bisection.
+solution is replaced by bisection. A step is one plan that reads the state
+once, with its join to the histogram, and carries it through the aggregation:
+a state read twice a step would double the plan, and what the driver holds of
+it, with each step in one.
 
 The dual depends on a document by source and size only, so iterations run on
 the counts of (source, size), and documents are read once. Rates are rounded
@@ -29,10 +32,6 @@ from pyspark.sql import functions as F
 from .common import Written, one_of_each, row_key, words_of, write
 
 
-#: Newton steps, or repairs, in one plan
-AT_ONCE = 3
-
-
 @dataclass(frozen=True)
 class MixConfig:
     """weights: given to sources in order, repeating; most: copies of a document at most."""
@@ -89,12 +88,12 @@ def _solve(hist: DataFrame, goals: DataFrame, cfg: MixConfig) -> Written:
         F.when(ratio >= cfg.most * (1 - 1e-12), True).otherwise(False).alias("full"),
     )
     def newton(state: DataFrame) -> DataFrame:
-        joined = hist.join(state, F.col("h_source").eqNullSafe(F.col("source"))).where("not done")
+        # each source of the state has words, so none is lost in the join
+        joined = hist.join(state, F.col("h_source").eqNullSafe(F.col("source")))
         c = F.col("size") / F.col("mean")
         u = F.col("lam") * c
         rate = F.exp(F.least(u, F.lit(cap)))
-        sums = joined.groupBy("h_source").agg(F.sum(F.col("count") * rate * c).alias("g"), F.sum(F.when(u < cap, F.col("count") * rate * c * c).otherwise(0.0)).alias("h"))
-        s = state.join(sums, F.col("h_source").eqNullSafe(F.col("source")), "left")
+        s = joined.groupBy(*state.columns).agg(F.sum(F.col("count") * rate * c).alias("g"), F.sum(F.when(u < cap, F.col("count") * rate * c * c).otherwise(0.0)).alias("h"))
         off = F.col("g") - F.col("goal")
         lo, hi = F.when(off <= 0, F.col("lam")).otherwise(F.col("lo")), F.when(off >= 0, F.col("lam")).otherwise(F.col("hi"))
         step = F.col("lam") - off / F.when(F.col("h") > 0, F.col("h"))
@@ -109,11 +108,8 @@ def _solve(hist: DataFrame, goals: DataFrame, cfg: MixConfig) -> Written:
         )
 
     state = write(start, "dual")
-    for _ in range(0, cfg.newton_steps, AT_ONCE):
-        step = state.df
-        for _ in range(AT_ONCE):
-            step = newton(step)
-        new = write(step, "dual")
+    for _ in range(cfg.newton_steps):
+        new = write(newton(state.df), "dual")
         state.drop()
         state = new
         if state.df.where("not done").limit(1).count() == 0:
@@ -173,7 +169,8 @@ def _repairs(chosen: DataFrame, cfg: MixConfig) -> DataFrame:
 
     A source's candidates are one document for each (size, copies), the one
     with the least number; there are no more of them than sizes times copies.
-    Each is used once, and rounds end when none brings a source nearer.
+    Each is used once, and rounds end when none brings a source nearer. A
+    source without candidates has no repairs and leaves in the first round.
     """
     cells = write(chosen.where("size > 0").groupBy("source", "size", "copies").agg(F.min("nth").alias("nth"), F.max("nth").alias("last")), "cells").df
     sums = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"))
@@ -186,11 +183,10 @@ def _repairs(chosen: DataFrame, cfg: MixConfig) -> DataFrame:
         after = F.abs(F.col("gap") - change * F.col("size"))
         best = (
             cells.join(state, F.col("source").eqNullSafe(F.col("s_source")))
-            .where(fits & ~used & (after < F.abs(F.col("gap"))))
-            .groupBy("source")
-            .agg(F.min(F.struct(after.alias("after"), F.col("size").alias("f_size"), F.col("nth").alias("f_nth"), change.alias("change"))).alias("b"))
+            .groupBy("s_source", "gap", "fixes")
+            .agg(F.min(F.when(fits & ~used & (after < F.abs(F.col("gap"))), F.struct(after.alias("after"), F.col("size").alias("f_size"), F.col("nth").alias("f_nth"), change.alias("change")))).alias("b"))
         )
-        return state.join(best, F.col("source").eqNullSafe(F.col("s_source")), "left").select(
+        return best.select(
             "s_source",
             F.when(F.col("b").isNull(), F.col("gap")).otherwise(F.col("gap") - F.col("b.change") * F.col("b.f_size")).alias("gap"),
             F.when(F.col("b").isNull(), F.col("fixes")).otherwise(F.concat("fixes", F.array(F.struct("b.f_size", "b.f_nth", "b.change")))).alias("fixes"),
@@ -198,10 +194,7 @@ def _repairs(chosen: DataFrame, cfg: MixConfig) -> DataFrame:
         )
 
     while True:
-        step = state.df
-        for _ in range(AT_ONCE):
-            step = repair(step.drop("nearer"))
-        new = write(step, "gaps")
+        new = write(repair(state.df), "gaps")
         state.drop()
         state = new
         if not new.df.where("nearer").limit(1).count():

@@ -180,6 +180,23 @@ def test_mixing(spark):
     assert mixing.repeat(df).columns == df.columns
 
 
+def test_mixing_steps_are_small_plans(spark, monkeypatch):
+    seen = []
+
+    def spy(df, label):
+        if label in ("dual", "gaps"):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            seen.append((label, len(re.findall(r"\bJoin ", plan)), plan.count("Aggregate [")))
+        return write(df, label)
+
+    write = mixing.write
+    monkeypatch.setattr(mixing, "write", spy)
+    mixing.mix(docs(spark)).count()
+    assert {label for label, _, _ in seen} == {"dual", "gaps"}
+    # the driver holds each plan: a step has a join and an aggregation, whatever the number of steps
+    assert max(joins for _, joins, _ in seen) == 1 and max(aggregates for _, _, aggregates in seen) == 1
+
+
 def test_targets_by_hand(spark):
     df = spark.createDataFrame([("a", 10, 1, 1), ("b", 100, 1, 1), ("c", 90, 1, 1), (None, 0, 1, None)], "source string, source_size long, n long, least long")
     got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
