@@ -16,6 +16,7 @@ from ..config import ActivationConfig
 from ..functions.maths import log_term, seconds_between, sigmoid
 from ..functions.text import jaccard
 from ..functions.text import tokens as word_tokens
+from .textfit import text_pairs
 
 CFG = ActivationConfig()
 
@@ -67,21 +68,11 @@ def weighted_text_fit(docs: DataFrame, doc_id: str, tokens: str, cues: DataFrame
     """(cue_id, doc_id, coverage, f1): shares of idf mass.
 
     ``cues``: cue_id, tokens (distinct), and the columns ``by``, in which a
-    cue and its documents agree. Only pairs that share a token are made:
-    documents meet cues by token. A cue token that no document has weighs as
+    cue and its documents agree. Only pairs that share a token are made, and
+    by each document on its own (:mod:`.textfit`). A cue token that no document has weighs as
     much as one of no count; a column ``scale`` of the cues multiplies theirs.
     """
-    keys = by or []
-    doc_rows = docs.select(*keys, doc_id, F.explode(tokens).alias("token")).join(weights.select(*keys, "token", "idf"), [*keys, "token"])
-    doc_mass = doc_rows.groupBy(doc_id).agg(F.sum("idf").alias("doc_mass"))
-    scale = F.col("scale") if "scale" in cues.columns else F.lit(1.0)
-    cue_rows = cues.select(*keys, "cue_id", scale.alias("scale"), F.explode("tokens").alias("token")).join(weights.select(*keys, "token", "idf"), [*keys, "token"], "left")
-    cue_rows = cue_rows.withColumn("idf", F.coalesce("idf", F.lit(1.0)) * F.col("scale")).drop("scale")
-    cue_mass = cue_rows.groupBy("cue_id").agg(F.sum("idf").alias("cue_mass"))
-    hits = doc_rows.withColumnRenamed("idf", "own").join(cue_rows, [*keys, "token"]).groupBy("cue_id", doc_id).agg(F.sum("idf").alias("hit"), F.sum("own").alias("own"))
-    out = hits.join(doc_mass, doc_id).join(cue_mass, "cue_id")
-    cover, precision = F.col("hit") / F.col("cue_mass"), F.col("own") / F.col("doc_mass")
-    return out.select("cue_id", doc_id, cover.alias("coverage"), (2 * cover * precision / (cover + precision)).alias("f1"))
+    return text_pairs(docs, doc_id, tokens, cues, weights, by).select("cue_id", doc_id, "coverage", "f1")
 
 
 def partial_match(similarities: dict[str, tuple[Column, float]], penalty: float = 1.0) -> Column:
