@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from mnemospark.config import ActivationConfig
 from mnemospark.operators import activation as A
+from mnemospark.operators import learning as L
+from mnemospark.operators import spreading as S
 from mnemospark.operators import textfit as X
 
 
@@ -85,3 +89,94 @@ def test_cue_relevance_reads_no_text_again(spark):
 
     top = above(catalog.queries()["cue_relevance"](spark, "/root/testdata/sf0.001"), "MapInArrow")
     assert "Exchange" not in top and "Join" not in top
+
+
+def graph(seed, memories=60, entities=25):
+    r = random.Random(seed)
+    rows = [(m, e) for m in range(memories) for e in r.choices(range(entities), k=r.randint(1, 6))]
+    return rows, [(c, e) for c in range(5) for e in r.sample(range(entities), 3)]
+
+
+def links_of(rows, tau):
+    """(memory, other): strength, by the number of pairs of rows with one item."""
+    n = {}
+    for m, e in rows:
+        for k, f in rows:
+            if e == f and m != k:
+                n[m, k] = n.get((m, k), 0) + 1
+    return {p: 1 - math.exp(-x / tau) for p, x in n.items()}
+
+
+def spread_of(rows, sources, cfg, links):
+    edges, out = set(rows), {}
+    for cue in {c for c, _ in sources}:
+        mine = {e for c, e in sources if c == cue}
+        frontier, seen, total, hops = {e: 1 / len(mine) for e in mine}, set(), {}, {}
+        for hop in range(1, cfg.hops + 1):
+            got = {}
+            for e, a in frontier.items():
+                held = [m for m, x in edges if x == e]
+                if held and a >= cfg.least_activation and a / len(held) >= cfg.least_activation:
+                    for m in held:
+                        got[m] = got.get(m, 0) + a / len(held)
+            part = list(got.items())
+            for (m, k), s in links.items():
+                if m in got and (e := got[m] * cfg.spread_decay * cfg.learned_scale * s) >= cfg.least_activation:
+                    part.append((k, e))
+            for m, g in part:
+                total[m] = total.get(m, 0) + g
+                hops.setdefault(m, hop)
+            passed = {}
+            for m in set(got) - seen:
+                own = [x for k, x in edges if k == m]
+                p = got[m] * cfg.spread_decay / max(1, len(own) - 1)
+                for e in own:
+                    if e not in frontier and p >= cfg.least_activation:
+                        passed[e] = passed.get(e, 0) + p
+            seen |= set(got)
+            frontier = passed
+        out |= {(cue, m): (min(1.0, g), hops[m]) for m, g in total.items()}
+    return out
+
+
+@pytest.mark.parametrize("least,linked,hops", [(0.001, False, 2), (0.01, False, 2), (0.002, True, 1), (0.02, True, 1), (0.004, True, 2), (0.004, False, 3)])
+@pytest.mark.parametrize("few", [1, 64])
+def test_spreading_equals_brute_force(spark, monkeypatch, least, linked, hops, few):
+    monkeypatch.setattr(S, "MANY_CUES", few)
+    rows, sources = graph(hops)
+    cfg = ActivationConfig(hops=hops, least_activation=least)
+    links = L.Linked(spark.createDataFrame(rows, "memory long, item long"), 3.0) if linked else None
+    got = S.spread(spark.createDataFrame(rows, "memory long, entity long").distinct(), spark.createDataFrame(sources, "cue_id int, entity long"), cfg, links, 3)
+    got = {(r["cue_id"], r["memory"]): (r["spreading"], r["hop"]) for r in got.collect()}
+    want = spread_of(rows, sources, cfg, links_of(rows, 3.0) if linked else {})
+    assert got.keys() == want.keys()
+    assert all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
+
+
+@pytest.mark.parametrize("limits", [(4096, 32_000_000, 2_000_000), (3, 200, 50), (1, 1, 1)])
+def test_packed_lists_count_each_pair(monkeypatch, limits):
+    for name, value in zip(("MEMBERS", "BYTES", "VALUES"), limits):
+        monkeypatch.setattr(L, name, value)
+    rows = [(m * 10**9 * (m % 3) + m, e) for m, e in graph(7)[0]]
+    members = [sorted((m, m % 3) for m, f in rows if f == e) for e in range(25)]
+    lists = pa.RecordBatch.from_pydict({"memories": pa.array([[m for m, _ in x] for x in members], pa.list_(pa.int64())), "needs": pa.array([[n for _, n in x] for x in members], pa.list_(pa.int64()))})
+    packed = pa.Table.from_batches(L._pack(iter([lists.slice(0, 9), lists.slice(9)]))).sort_by("memory").combine_chunks()
+    counted = [r for b in L._count(iter(packed.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    got = {(r["memory"], k): r["n"] for r in counted for k in r["to"]}
+    want = {p: round(-3 * math.log(1 - s)) for p, s in links_of(rows, 3.0).items()}
+    assert got == {(m, k): n for (m, k), n in want.items() if n >= m % 3 > 0}
+    assert sum(len(r["to"]) for r in counted) == len(got)
+
+
+def test_links_are_never_a_table_of_pairs(spark):
+    from mnemospark.plans import catalog
+
+    plan = catalog.queries()["learned_spread"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" in plan and not [x for x in plan.splitlines() if "Join" in x and "<" in x]
+
+
+def test_what_memories_pass_on_travels_as_lists(spark):
+    from mnemospark.plans import catalog
+
+    plan = catalog.queries()["spread_2hop"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "inline(held" in plan
