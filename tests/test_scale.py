@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mnemospark.config import ActivationConfig
 from mnemospark.operators import activation as A
 from mnemospark.operators import learning as L
+from mnemospark.operators import reconcile as C
 from mnemospark.operators import spreading as S
 from mnemospark.operators import textfit as X
 
@@ -180,3 +181,17 @@ def test_what_memories_pass_on_travels_as_lists(spark):
 
     plan = catalog.queries()["spread_2hop"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "inline(held" in plan
+
+
+def test_coactivation_moves_pairs_before_they_are_grouped(spark):
+    df = spark.createDataFrame([(e, k) for e in range(20) for k in range(e % 12)] * 2, "e long, k long")
+    pairs = L.coactivation_pairs(df, "e", "k", parts=3)
+    lines = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
+    grouped = [i for i, x in enumerate(lines) if "partial_count" in x]
+    assert grouped and max(grouped) < min(i for i, x in enumerate(lines) if "Exchange" in x)
+    want = {}
+    for e in range(20):
+        for a in range(min(8, e % 12)):
+            for b in range(a + 1, min(8, e % 12)):
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["left"], r["right"]): r["n"] for r in pairs.collect()} == want
