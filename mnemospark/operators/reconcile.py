@@ -2,11 +2,14 @@
 
 A slot's candidates come in order of validity; each is merged with the
 revision of its key, or compared with the others of the slot. The fold needs
-the order, so it is a grouped map; one slot's candidates are its only state.
+the order, so it runs over rows sorted by slot; one slot's candidates are its
+only state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,9 +69,10 @@ def _relation(a: dict, b: dict) -> str:
 
 
 def fold(rows: list[dict]) -> list[dict]:
-    """The revisions that a slot's candidates make, taken by validity, memory and revision key."""
+    """The revisions that a slot's candidates make, taken by validity, memory and revision key. Times are microseconds."""
     kept: dict[str, dict] = {}
-    for r in sorted(rows, key=lambda r: ("" if r["valid_from"] is None else r["valid_from"].isoformat(), r["memory_key"], r["revision_key"])):
+    live: dict[str, dict] = {}
+    for r in sorted(rows, key=lambda r: (r["valid_from"] is not None, r["valid_from"] or 0, r["memory_key"], r["revision_key"])):
         key = r["revision_key"]
         if key in kept:
             k = kept[key]
@@ -76,29 +80,55 @@ def fold(rows: list[dict]) -> list[dict]:
             k["importance"], k["update_relation"] = r["importance"], "reinforces"
             continue
         r = r | {"status": "active", "update_relation": "created", "conflicts": [], "superseded_by": []}
-        others = [k for k in kept.values() if k["status"] != "superseded" and k["memory_key"] != r["memory_key"]] if r["cardinality"] == "one" else []
+        others = [k for k in live.values() if k["memory_key"] != r["memory_key"]] if r["cardinality"] == "one" else []
         apart = [k for k in others if _relation(k, r) in ("before", "after")]
         if apart:
             r["update_relation"] = "supersedes"
             for k in apart:
                 k["status"] = "superseded"
                 k["superseded_by"].append(key)
-                k["valid_until"] = r["valid_from"] or k["valid_until"]
+                k["valid_until"] = k["valid_until"] if r["valid_from"] is None else r["valid_from"]
+                del live[k["revision_key"]]
         elif others:
             r["status"], r["update_relation"] = "contested", "conflicts"
             for k in others:
                 k["status"] = "contested"
                 k["conflicts"].append(key)
                 r["conflicts"].append(k["revision_key"])
-        kept[key] = r
+        kept[key] = live[key] = r
     return list(kept.values())
 
 
-def _fold_table(names: list[str]):
-    strings, stamp = pa.list_(pa.string()), pa.timestamp("us", "UTC")
-    kinds = {"support_count": pa.int64(), "namespaces": pa.int64(), "support_mass": pa.float64(), "importance": pa.float64(), "conflicts": strings, "superseded_by": strings, "valid_from": stamp, "valid_until": stamp}
-    schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
-    return lambda t: pa.Table.from_pylist([{n: r[n] for n in names} for r in fold(t.to_pylist())], schema)
+#: Arrow types of revisions that aren't strings.
+_STRINGS, _STAMP = pa.list_(pa.string()), pa.timestamp("us", "UTC")
+_KINDS = {"support_count": pa.int64(), "namespaces": pa.int64(), "support_mass": pa.float64(), "importance": pa.float64(), "conflicts": _STRINGS, "superseded_by": _STRINGS, "valid_from": _STAMP, "valid_until": _STAMP}
+
+
+def _fold_slots(names: list[str]):
+    """Candidates, sorted by slot, to revisions; many slots go through one batch."""
+
+    def plain(b: pa.RecordBatch) -> list[dict]:
+        columns = [c.cast(_STAMP).cast(pa.int64()) if pa.types.is_timestamp(c.type) else c for c in b.columns]
+        return pa.RecordBatch.from_arrays(columns, b.schema.names).to_pylist()
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        column = lambda n: pa.array([r[n] for r in rows], pa.int64() if _KINDS.get(n) == _STAMP else _KINDS.get(n, pa.string()))
+        return pa.RecordBatch.from_arrays([column(n).cast(_STAMP) if _KINDS.get(n) == _STAMP else column(n) for n in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot: list[dict] = []  # it may go on in the next batch
+        for b in batches:
+            out: list[dict] = []
+            for r in plain(b):
+                if slot and slot[0]["slot_key"] != r["slot_key"]:
+                    out += fold(slot)
+                    slot = []
+                slot.append(r)
+            yield made(out)
+        if slot:
+            yield made(fold(slot))
+
+    return run
 
 
 def reconcile(candidates: DataFrame, cfg: ConsolidationConfig = ConsolidationConfig()) -> DataFrame:
@@ -109,7 +139,7 @@ def reconcile(candidates: DataFrame, cfg: ConsolidationConfig = ConsolidationCon
     """
     names = [x.split()[0] for x in REVISION.split(", ")]
     keyed = candidates.withColumn("revision_key", revision_key(F.col("memory_key"), F.col("valid_from"), F.col("valid_until")))
-    folded = keyed.groupBy("slot_key").applyInArrow(_fold_table(names), REVISION)
+    folded = keyed.repartition("slot_key").sortWithinPartitions("slot_key").mapInArrow(_fold_slots(names), REVISION)
     mass, contra = F.greatest(F.col("support_count").cast("double"), F.col("support_mass")), F.size(F.array_distinct("conflicts"))
     spread = 0.8 + 0.2 * F.least(F.lit(1.0), F.col("namespaces") / F.lit(float(cfg.diversity_target)))
     confidence = F.least(F.lit(1.0), (1 - F.exp(-mass / F.lit(cfg.tau))) * (mass / (mass + contra)) * spread)

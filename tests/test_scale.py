@@ -195,3 +195,31 @@ def test_coactivation_moves_pairs_before_they_are_grouped(spark):
             for b in range(a + 1, min(8, e % 12)):
                 want[a, b] = want.get((a, b), 0) + 1
     assert {(r["left"], r["right"]): r["n"] for r in pairs.collect()} == want
+
+
+@pytest.mark.parametrize("rows_in_batch", [1, 7, 1000])
+def test_slots_are_folded_many_at_once(rows_in_batch):
+    r = random.Random(3)
+    stamp = pa.timestamp("us", "UTC")
+    times = [None, 0, 10**6, 2 * 10**6, 3 * 10**6]
+    rows = [{"slot_key": f"s{s:02}", "memory_key": f"m{s}-{r.randint(0, 2)}", "revision_key": f"r{s}-{i % 5}", "object_value": "o", "cardinality": r.choice(["one", "many"]), "valid_from": r.choice(times), "valid_until": r.choice(times), "support_count": r.randint(1, 3), "support_mass": 1.0, "importance": 0.5, "namespaces": 1} for s in range(40) for i in range(r.randint(1, 9))]
+    names = [x.split()[0] for x in C.REVISION.split(", ")]
+    columns = {n: pa.array([x[n] for x in rows], pa.int64()).cast(stamp) if n.startswith("valid") else pa.array([x[n] for x in rows]) for n in rows[0]}
+    out = list(C._fold_slots(names)(iter(pa.Table.from_pydict(columns).to_batches(max_chunksize=rows_in_batch))))
+    got = [x for b in out for x in b.set_column(names.index("valid_from"), "valid_from", b["valid_from"].cast(pa.int64())).set_column(names.index("valid_until"), "valid_until", b["valid_until"].cast(pa.int64())).to_pylist()]
+    want = [{n: x[n] for n in names} for s in range(40) for x in C.fold([y for y in rows if y["slot_key"] == f"s{s:02}"])]
+    assert got == want and len(out) <= len(rows) // rows_in_batch + 2
+
+
+def test_a_revision_at_the_epoch_ends_the_one_before():
+    base = {"slot_key": "s", "cardinality": "one", "support_count": 1, "support_mass": 1.0, "importance": 0.5}
+    rows = [base | {"memory_key": "a", "revision_key": "a", "valid_from": -5, "valid_until": -1}, base | {"memory_key": "b", "revision_key": "b", "valid_from": 0, "valid_until": 9}]
+    first, second = C.fold(rows)
+    assert first["status"] == "superseded" and first["valid_until"] == 0 and second["status"] == "active"
+
+
+def test_slots_are_not_a_group_each(spark):
+    from mnemospark.plans import catalog
+
+    plan = catalog.queries()["reconcile_fold"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
